@@ -12,6 +12,8 @@ the list of ends grows in segments, so the cost is linear in the document's leng
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,8 +141,11 @@ def slice_text(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def slice_all(text: Column, bounds: Column) -> Column:
-    """Attach the text of every range in ``bounds``; linear in the text's length."""
+def slice_all(text: Column, bounds: Column, carry: Sequence[str] = ()) -> Column:
+    """Attach the text of every range in ``bounds``; linear in the text's length.
+
+    Fields of a bound named in ``carry`` are kept beside its text.
+    """
 
     def with_text(bound: Column, sliced: Column) -> Column:
         return F.struct(
@@ -148,6 +153,7 @@ def slice_all(text: Column, bounds: Column) -> Column:
             bound["start"].alias("start"),
             bound["end"].alias("end"),
             sliced.alias("chunk_text"),
+            *[bound[name].alias(name) for name in carry],
         )
 
     def from_blocks(blocks: Column, bound: Column) -> Column:

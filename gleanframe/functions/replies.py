@@ -183,6 +183,13 @@ def classify(df: DataFrame, required: list[str], text: str = "chunk_text") -> Da
             F.concat(F.lit(MISSING_REQUIRED), F.array_join("_missing", ", ")),
         )
     )
-    return parsed.withColumns(
-        {"success": F.col("outcome") == "ok", "error_message": message}
-    ).drop("_content", "_missing")
+    # One generated row per row: conditions on the outcome stay above the parse instead of
+    # being pushed into it, where every one of them would repeat the whole cascade.
+    fields = F.struct(
+        "stage",
+        "extracted",
+        "outcome",
+        (F.col("outcome") == "ok").alias("success"),
+        message.alias("error_message"),
+    )
+    return parsed.select(*df.columns, F.inline(F.array(fields)))

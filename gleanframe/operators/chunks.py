@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,22 +36,25 @@ def chunk_texts(documents: DataFrame, size: int) -> DataFrame:
     )
 
 
-def slice_chunks(chunks: DataFrame, documents: DataFrame, small: bool = False) -> DataFrame:
-    """Attach text to stored bounds: one equi-join on ``file``.
+def slice_chunks(
+    chunks: DataFrame, documents: DataFrame, small: bool = False, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Attach text to stored bounds: one equi-join on ``file``; ``carry`` columns stay.
 
     The bounds of a document travel as one array, so its content is moved once and
     sliced once, however many of its chunks are wanted.  That array is bounded by the
     document's own length.  Say ``small`` only of chunk sets whose rows were counted.
     """
-    bound = F.struct("chunknumber", "start", "end")
+    bound = F.struct("chunknumber", "start", "end", *carry)
     wanted = chunks.groupBy("file").agg(F.collect_list(bound).alias("bounds"))
     if small:
         wanted = F.broadcast(wanted)
+    sliced = slice_all(F.col("content"), F.col("bounds"), carry)
     return (
         documents.select("file", "content")
         .join(wanted, "file")
-        .select("file", F.explode(slice_all(F.col("content"), F.col("bounds"))).alias("chunk"))
-        .select("file", "chunk.chunknumber", "chunk.start", "chunk.end", "chunk.chunk_text")
+        .select("file", F.explode(sliced).alias("chunk"))
+        .select("file", "chunk.*")
     )
 
 
