@@ -1,12 +1,14 @@
 """Model replies as column expressions: envelope, JSON cleaning, checks, outcome.
 
-Spark's JSON functions accept trailing text after a valid value.  A text counts as
-valid here only if it parses both inside an array (as its single element) and inside
-an object, which no text with anything after its first value can do.
+Spark's JSON functions accept trailing text after a valid value.  A text is therefore
+read as the first element of an array whose second and last element is a mark made from
+the text: it is valid only if exactly these two elements come back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,87 +31,120 @@ FENCED_BLOCK = f"```json{SPACE}*([\\s\\S]*?){SPACE}*```"
 BRACED = r"(?s)\{.*\}"
 
 STRICT = {"allowSingleQuotes": "false"}
-ENVELOPE = "struct<choices:array<struct<message:struct<content:string>>>>"
+ENVELOPE = "struct<choices:array<struct<message:struct<content:string>>>,mark:string>"
 
 
-def _parse(text: Column, element: str) -> Column:
-    """``text`` as exactly one JSON value of the given type, else NULL."""
-    as_element = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{element}>", STRICT)
-    as_field = F.from_json(
-        F.concat(F.lit('{"w":'), text, F.lit("}")), f"struct<w:{element}>", STRICT
-    )
-    return F.when(
-        as_field["w"].isNotNull(),
-        bind(as_element, lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0)))),
+def _parse(text: Column, element: str, mark: Callable[[Column], Column],
+           read_mark: Callable[[Column], Column]) -> Column:
+    """``text`` as exactly one JSON value of type ``element``, else NULL.
+
+    ``mark`` writes the last element from a hash of the text, ``read_mark`` reads it.
+    """
+    key = F.xxhash64(text).cast("string")
+    wrapped = F.concat(F.lit("["), text, F.lit(","), mark(key), F.lit("]"))
+    return bind(
+        F.from_json(wrapped, f"array<{element}>", STRICT),
+        lambda a: F.when(
+            (F.size(a) == 2) & (read_mark(F.get(a, F.lit(1))) == key), F.get(a, F.lit(0))
+        ),
     )
 
 
-def envelope_content(raw: Column) -> Column:
-    """``choices[0].message.content`` of a reply envelope; NULL where any part is absent."""
-    return F.try_element_at(_parse(raw, ENVELOPE)["choices"], F.lit(1))["message"]["content"]
+def _parse_map(text: Column) -> Column:
+    return _parse(
+        text,
+        "map<string,string>",
+        lambda key: F.concat(F.lit('{"mark":"'), key, F.lit('"}')),
+        lambda last: F.try_element_at(last, F.lit("mark")),
+    )
 
 
-def last_wins(entries: Column) -> Column:
-    """Keep the last of several entries with one key; parsed maps hold them all."""
-    later = lambda i: F.slice(entries, i + 2, F.size(entries))
-    return F.filter(
-        entries, lambda e, i: ~F.exists(later(i), lambda other: other["key"] == e["key"])
-    )
+def _parse_any(text: Column) -> Column:
+    return _parse(text, "string", lambda key: F.concat(F.lit('"'), key, F.lit('"')), lambda s: s)
 
 
-def _unique_keys(values: Column) -> Column:
-    keys = F.map_keys(values)
-    return F.when(
-        F.size(keys) > F.size(F.array_distinct(keys)),
-        bind(F.map_entries(values), lambda e: F.map_from_entries(last_wins(e))),
-    ).otherwise(values)
+def envelope_content(raw: Column) -> Column:
+    """``choices[0].message.content`` of a reply envelope; NULL where any part is absent."""
+    parsed = _parse(
+        raw,
+        ENVELOPE,
+        lambda key: F.concat(F.lit('{"mark":"'), key, F.lit('"}')),
+        lambda last: last["mark"],
+    )
+    return F.try_element_at(parsed["choices"], F.lit(1))["message"]["content"]
 
 
-def store_booleans(values: Column, text: Column) -> Column:
-    """JSON true/false become '1'/'0', as a text column stores them; strings stay.
+def stored_values(values: Column, text: Column) -> Column:
+    """The parsed map as it is stored: last of equal keys, JSON true/false as '1'/'0'.
 
-    Types are read from a second parse, done only where some value looks like one.
+    A parsed map holds every entry in the order of the text, and gives a boolean and the
+    string of its name the same value.  Types come from a second parse with the same entry
+    order, made only where some value looks like a boolean.
     """
     words = F.array(F.lit("true"), F.lit("false"))
 
-    def tag(types: Column, key: Column) -> Column:
-        same_key = F.filter(F.map_entries(types), lambda e: e["key"] == key)
-        return F.try_element_at(same_key, F.lit(-1))["value"]
-
     def retype(types: Column) -> Column:
-        return F.transform_values(
-            values,
-            lambda k, v: F.when(
-                v.isin("true", "false")
-                & (F.schema_of_variant(tag(types, k)) == "BOOLEAN"),
-                F.when(v == "true", "1").otherwise("0"),
-            ).otherwise(v),
+        return F.transform(
+            F.map_entries(values),
+            lambda e, i: F.struct(
+                e["key"].alias("key"),
+                F.when(
+                    e["value"].isin("true", "false")
+                    & (F.schema_of_variant(F.get(types, i)) == "BOOLEAN"),
+                    F.when(e["value"] == "true", "1").otherwise("0"),
+                )
+                .otherwise(e["value"])
+                .alias("value"),
+            ),
         )
 
-    return F.when(
-        F.arrays_overlap(F.map_values(values), words),
-        bind(F.from_json(text, "map<string,variant>", STRICT), retype),
-    ).otherwise(values)
+    def last_of_key(entries: Column) -> Column:
+        return F.map_from_entries(
+            F.filter(
+                entries,
+                lambda e, i: ~F.exists(
+                    F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]
+                ),
+            )
+        )
+
+    keys = F.map_keys(values)
+    has_words = F.arrays_overlap(F.map_values(values), words)
+    repeated = F.size(keys) > F.size(F.array_distinct(keys))
+    typed = F.when(
+        has_words,
+        bind(F.map_values(F.from_json(text, "map<string,variant>", STRICT)), retype),
+    ).otherwise(F.map_entries(values))
+    return (
+        F.when(repeated, bind(typed, last_of_key))
+        .when(has_words, F.map_from_entries(typed))
+        .otherwise(values)
+    )
 
 
 def _read(text: Column) -> Column:
     """Struct ``(valid, data)``: is ``text`` valid JSON, and its map if it is an object."""
-    data = _parse(text, "map<string,string>")
-    any_value = _parse(text, "string")
     no_data = F.lit(None).cast("map<string,string>")
-    return F.when(text.isNull(), F.struct(F.lit(False).alias("valid"), no_data.alias("data"))).when(
-        F.startswith(text, F.lit("{")),
-        bind(data, lambda m: F.struct(m.isNotNull().alias("valid"), _unique_keys(m).alias("data"))),
-    ).otherwise(
-        F.struct(any_value.isNotNull().alias("valid"), no_data.alias("data"))
+
+    def result(valid: Column, data: Column) -> Column:
+        return F.struct(valid.alias("valid"), data.alias("data"))
+
+    return (
+        F.when(text.isNull(), result(F.lit(False), no_data))
+        .when(
+            F.startswith(text, F.lit("{")),
+            bind(_parse_map(text), lambda m: result(m.isNotNull(), m)),
+        )
+        .otherwise(result(_parse_any(text).isNotNull(), no_data))
     )
 
 
 def unfenced(text: Column) -> Column:
     """The text without fence marks at line starts and line ends."""
+    bare = text
     for pattern in (FENCE_OPEN_JSON, FENCE_OPEN, FENCE_CLOSE):
-        text = F.regexp_replace(text, pattern, "")
-    return strip(text)
+        bare = F.regexp_replace(bare, pattern, "")
+    return F.when(F.contains(text, F.lit("```")), strip(bare)).otherwise(text)
 
 
 def clean_replies(df: DataFrame, content: str) -> DataFrame:
@@ -139,7 +174,7 @@ def clean_replies(df: DataFrame, content: str) -> DataFrame:
     return df.withColumns(
         {
             "stage": stage.otherwise("non_object"),
-            "extracted": store_booleans(F.col("_data"), F.col("_source")),
+            "extracted": stored_values(F.col("_data"), F.col("_source")),
         }
     ).drop(*[f"_{kind}_{s}" for kind in ("text", "read") for s in candidates], "_stage", "_data", "_source")
 

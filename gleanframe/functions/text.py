@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 # The characters that count as white space, as a Java regex class body.
 SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{SPACE_CLASS}]"
+SPACE_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
+) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode white space from both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(F.regexp_replace(text, rf"\A{SPACE}+", ""), rf"{SPACE}+\z", "")
+    """Remove Unicode white space from both ends (plain ``trim`` removes spaces only)."""
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def collapse_whitespace(text: Column) -> Column:
