@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.operators.chunks import CHUNK_KEY
@@ -73,32 +73,42 @@ def run_summary(
     log: DataFrame, results: DataFrame, start: Column, end: Column, max_failures: int
 ) -> DataFrame:
     """One row: attempts, stored results, skipped chunks, and the interval's length."""
-    calls = in_window(log, start, end).agg(F.count("*").alias("llm_calls"))
-    stored = results_in_window(results, log, start, end).agg(F.count("*").alias("successes"))
-    skipped = skipped_chunks(log, start, end, max_failures).agg(F.count("*").alias("skipped"))
-    # Three single-row frames side by side.
-    row = calls.join(stored, how="cross").join(skipped, how="cross")
-    return row.withColumn("duration_us", F.timestamp_diff("MICROSECOND", start, end))
+    counted = {
+        "llm_calls": in_window(log, start, end),
+        "successes": results_in_window(results, log, start, end),
+        "skipped": skipped_chunks(log, start, end, max_failures),
+    }
+    parts = [
+        table.agg(*[(F.count("*") if n == name else F.lit(0)).alias(n) for n in counted])
+        for name, table in counted.items()
+    ]
+    total = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return total.agg(*[F.sum(n).alias(n) for n in counted]).withColumn(
+        "duration_us", F.timestamp_diff("MICROSECOND", start, end)
+    )
 
 
 def consecutive_failures(log: DataFrame, salts: int = 16) -> DataFrame:
     """Failures after each chunk's last success (after its start where it never succeeded).
 
-    The last success is one row per chunk and is copied once per salt, so the
-    attempts of one very frequent chunk are compared in ``salts`` tasks instead of one.
+    Attempts are salted, so those of one very frequent chunk are compared in ``salts``
+    tasks instead of one.  The other side of the join holds one row per chunk and salt
+    that occurs, so chunks with few attempts are not multiplied.
     """
     order = F.struct("timestamp", "id")
-    last = log.groupBy(*CHUNK_KEY).agg(F.max(F.when(F.col("success"), order)).alias("last_success"))
-    copies = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = log.select(
         *CHUNK_KEY,
         "success",
         order.alias("at"),
-        F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"),
     )
+    per_salt = salted.groupBy(*CHUNK_KEY, "salt").agg(F.max(F.when(F.col("success"), F.col("at"))).alias("at"))
+    # At most ``salts`` rows per chunk reach the window.
+    last = F.max("at").over(Window.partitionBy(*CHUNK_KEY)).alias("last_success")
+    bounds = per_salt.select(*CHUNK_KEY, "salt", last)
     after = ~F.col("success") & (F.col("last_success").isNull() | (F.col("at") > F.col("last_success")))
     return (
-        salted.join(copies, [*CHUNK_KEY, "salt"])
+        salted.join(bounds, [*CHUNK_KEY, "salt"])
         .groupBy(*CHUNK_KEY)
         .agg(F.sum(after.cast("int")).alias("consecutive_failures"))
     )

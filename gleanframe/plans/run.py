@@ -17,7 +17,7 @@ from gleanframe.operators.attempts import attempt
 from gleanframe.operators.chunks import CHUNK_KEY, chunk_texts, slice_chunks, usable
 from gleanframe.operators.completion import Completer
 from gleanframe.operators.pending import pending_chunks
-from gleanframe.operators.store import Store
+from gleanframe.operators.store import BROADCAST_ROWS, Store
 
 # Outcomes that count as execution errors, and as warnings.
 ERROR_OUTCOMES = ("request_failed",)
@@ -25,8 +25,6 @@ WARNING_OUTCOMES = ("empty_chunk", "bad_json", "empty_object", "missing_required
 # A run stops beyond these counts when a breaker is set up with its defaults.
 MAX_ERRORS = 3
 MAX_WARNINGS = 10
-# Counted sets of chunk keys up to this many rows (some tens of MB) are broadcast.
-BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from gleanframe.operators.store import Store
 from gleanframe.sources.documents import as_files, read_text
 
+# The columns of Spark's binary file source.
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 # A micro-batch reads at most this many files, which bounds what registering broadcasts.
 MAX_FILES_PER_BATCH = 10_000
 
@@ -21,6 +23,7 @@ def folder_stream(spark: SparkSession, folder: str, max_files: int = MAX_FILES_P
     """Text documents of a folder as a stream; only files not seen before are delivered."""
     files = (
         spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE_SCHEMA)
         .option("maxFilesPerTrigger", max_files)
         .load(folder)
     )
