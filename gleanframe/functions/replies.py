@@ -7,12 +7,9 @@ the text: it is valid only if exactly these two elements come back.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.functions.lambdas import bind
 from gleanframe.functions.text import SPACE, strip
 
 # Messages stored with failed attempts.
@@ -30,112 +27,57 @@ FENCE_CLOSE = f"(?md){SPACE}*```$"
 FENCED_BLOCK = f"```json{SPACE}*([\\s\\S]*?){SPACE}*```"
 BRACED = r"(?s)\{.*\}"
 
-STRICT = {"allowSingleQuotes": "false"}
 ENVELOPE = "struct<choices:array<struct<message:struct<content:string>>>,mark:string>"
 
 
-def _parse(text: Column, element: str, mark: Callable[[Column], Column],
-           read_mark: Callable[[Column], Column]) -> Column:
-    """``text`` as exactly one JSON value of type ``element``, else NULL.
-
-    ``mark`` writes the last element from a hash of the text, ``read_mark`` reads it.
-    """
-    key = F.xxhash64(text).cast("string")
-    wrapped = F.concat(F.lit("["), text, F.lit(","), mark(key), F.lit("]"))
-    return bind(
-        F.from_json(wrapped, f"array<{element}>", STRICT),
-        lambda a: F.when(
-            (F.size(a) == 2) & (read_mark(F.get(a, F.lit(1))) == key), F.get(a, F.lit(0))
-        ),
-    )
+# The parsers are SQL text over named columns.  They read and check in two steps, so each
+# text is parsed once however often its parse is looked at, and all of it is generated code.
+OPTIONS = "map('allowSingleQuotes', 'false')"
 
 
-def _parse_map(text: Column) -> Column:
-    return _parse(
-        text,
-        "map<string,string>",
-        lambda key: F.concat(F.lit('{"mark":"'), key, F.lit('"}')),
-        lambda last: F.try_element_at(last, F.lit("mark")),
-    )
+def _with_mark(column: str, element: str, before: str, after: str) -> str:
+    """SQL for the array of the column's JSON value and its mark; NULL where malformed."""
+    text = f"concat('[', {column}, ',{before}', xxhash64({column}), '{after}]')"
+    return f"from_json({text}, 'array<{element}>', {OPTIONS})"
 
 
-def _parse_any(text: Column) -> Column:
-    return _parse(text, "string", lambda key: F.concat(F.lit('"'), key, F.lit('"')), lambda s: s)
+def _checked(parsed: str, column: str, mark: str) -> str:
+    """SQL for whether ``parsed`` is one value and the mark; ``mark`` reads ``last``."""
+    last = mark.replace("last", f"get({parsed}, 1)")
+    return f"(size({parsed}) = 2 AND {last} = CAST(xxhash64({column}) AS string))"
 
 
-def envelope_content(raw: Column) -> Column:
-    """``choices[0].message.content`` of a reply envelope; NULL where any part is absent."""
-    parsed = _parse(
-        raw,
-        ENVELOPE,
-        lambda key: F.concat(F.lit('{"mark":"'), key, F.lit('"}')),
-        lambda last: last["mark"],
+def with_content(df: DataFrame, raw: str, content: str) -> DataFrame:
+    """Add ``choices[0].message.content`` of reply envelopes; NULL where any part is absent."""
+    parsed = df.withColumn("_envelope", F.expr(_with_mark(raw, ENVELOPE, '{"mark":"', '"}')))
+    valid = _checked("_envelope", raw, "last.mark")
+    choice = "try_element_at(get(_envelope, 0).choices, 1)"
+    return parsed.withColumn(content, F.expr(f"if({valid}, {choice}.message.content, NULL)")).drop(
+        "_envelope"
     )
-    return F.try_element_at(parsed["choices"], F.lit(1))["message"]["content"]
 
 
-def stored_values(values: Column, text: Column) -> Column:
+def stored_values(values: str, text: str) -> Column:
     """The parsed map as it is stored: last of equal keys, JSON true/false as '1'/'0'.
 
     A parsed map holds every entry in the order of the text, and gives a boolean and the
     string of its name the same value.  Types come from a second parse with the same entry
     order, made only where some value looks like a boolean.
     """
-    words = F.array(F.lit("true"), F.lit("false"))
-
-    def retype(types: Column) -> Column:
-        return F.transform(
-            F.map_entries(values),
-            lambda e, i: F.struct(
-                e["key"].alias("key"),
-                F.when(
-                    e["value"].isin("true", "false")
-                    & (F.schema_of_variant(F.get(types, i)) == "BOOLEAN"),
-                    F.when(e["value"] == "true", "1").otherwise("0"),
-                )
-                .otherwise(e["value"])
-                .alias("value"),
-            ),
-        )
-
-    def last_of_key(entries: Column) -> Column:
-        return F.map_from_entries(
-            F.filter(
-                entries,
-                lambda e, i: ~F.exists(
-                    F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]
-                ),
-            )
-        )
-
-    keys = F.map_keys(values)
-    has_words = F.arrays_overlap(F.map_values(values), words)
-    repeated = F.size(keys) > F.size(F.array_distinct(keys))
-    typed = F.when(
-        has_words,
-        bind(F.map_values(F.from_json(text, "map<string,variant>", STRICT)), retype),
-    ).otherwise(F.map_entries(values))
-    return (
-        F.when(repeated, bind(typed, last_of_key))
-        .when(has_words, F.map_from_entries(typed))
-        .otherwise(values)
-    )
-
-
-def _read(text: Column) -> Column:
-    """Struct ``(valid, data)``: is ``text`` valid JSON, and its map if it is an object."""
-    no_data = F.lit(None).cast("map<string,string>")
-
-    def result(valid: Column, data: Column) -> Column:
-        return F.struct(valid.alias("valid"), data.alias("data"))
-
-    return (
-        F.when(text.isNull(), result(F.lit(False), no_data))
-        .when(
-            F.startswith(text, F.lit("{")),
-            bind(_parse_map(text), lambda m: result(m.isNotNull(), m)),
-        )
-        .otherwise(result(_parse_any(text).isNotNull(), no_data))
+    has_words = f"arrays_overlap(map_values({values}), array('true', 'false'))"
+    repeated = f"size(map_keys({values})) > size(array_distinct(map_keys({values})))"
+    typed = f"""
+      transform(array(map_values(from_json({text}, 'map<string,variant>', {OPTIONS}))), types ->
+        transform(map_entries({values}), (e, i) -> named_struct('key', e.key, 'value',
+          CASE WHEN e.value IN ('true', 'false') AND schema_of_variant(get(types, i)) = 'BOOLEAN'
+               THEN if(e.value = 'true', '1', '0') ELSE e.value END)))[0]"""
+    last_of_key = f"""
+      transform(array(if({has_words}, {typed}, map_entries({values}))), entries ->
+        map_from_entries(filter(entries, (e, i) ->
+          NOT exists(slice(entries, i + 2, size(entries)), later -> later.key = e.key))))[0]"""
+    return F.expr(
+        f"CASE WHEN {repeated} THEN {last_of_key} "
+        f"WHEN {has_words} THEN map_from_entries({typed}) ELSE {values} END"
     )
 
 
@@ -163,20 +105,40 @@ def clean_replies(df: DataFrame, content: str) -> DataFrame:
     }
     still_open = text.isNotNull() & (text != "")
     for stage, candidate in candidates.items():
-        df = df.withColumn(f"_text_{stage}", F.when(still_open, candidate))
-        df = df.withColumn(f"_read_{stage}", _read(F.col(f"_text_{stage}")))
-        still_open = still_open & ~F.col(f"_read_{stage}.valid")
-    chosen_stage = F.coalesce(*[F.when(F.col(f"_read_{s}.valid"), s) for s in candidates])
-    data = F.coalesce(*[F.col(f"_read_{s}.data") for s in candidates])
-    source = F.coalesce(*[F.when(F.col(f"_read_{s}.valid"), F.col(f"_text_{s}")) for s in candidates])
+        source, maps, values = f"_text_{stage}", f"_maps_{stage}", f"_values_{stage}"
+        is_object = f"startswith({source}, '{{')"
+        as_maps = _with_mark(source, "map<string,string>", '{"mark":"', '"}')
+        as_values = _with_mark(source, "string", '"', '"')
+        valid_map = _checked(maps, source, "try_element_at(last, 'mark')")
+        valid_value = f"({_checked(values, source, 'last')} AND get({values}, 0) IS NOT NULL)"
+        df = (
+            df.withColumn(source, F.when(still_open, candidate))
+            .withColumns(
+                {
+                    maps: F.expr(f"CASE WHEN {is_object} THEN {as_maps} END"),
+                    values: F.expr(f"CASE WHEN NOT {is_object} THEN {as_values} END"),
+                }
+            )
+            .withColumns(
+                {
+                    f"_data_{stage}": F.expr(f"if({valid_map}, get({maps}, 0), NULL)"),
+                    f"_valid_{stage}": F.expr(f"coalesce({valid_map}, {valid_value}, false)"),
+                }
+            )
+            .drop(maps, values)
+        )
+        still_open = still_open & ~F.col(f"_valid_{stage}")
+    chosen_stage = F.coalesce(*[F.when(F.col(f"_valid_{s}"), s) for s in candidates])
+    data = F.coalesce(*[F.col(f"_data_{s}") for s in candidates])
+    source = F.coalesce(*[F.when(F.col(f"_valid_{s}"), F.col(f"_text_{s}")) for s in candidates])
     df = df.withColumns({"_stage": chosen_stage, "_data": data, "_source": source})
     stage = F.when(F.col("_data").isNotNull() | F.col("_stage").isNull(), F.col("_stage"))
     return df.withColumns(
         {
             "stage": stage.otherwise("non_object"),
-            "extracted": stored_values(F.col("_data"), F.col("_source")),
+            "extracted": stored_values("_data", "_source"),
         }
-    ).drop(*[f"_{kind}_{s}" for kind in ("text", "read") for s in candidates], "_stage", "_data", "_source")
+    ).drop(*[f"_{kind}_{s}" for kind in ("text", "data", "valid") for s in candidates], "_stage", "_data", "_source")
 
 
 def missing_required(data: Column, required: list[str]) -> Column:
@@ -191,9 +153,7 @@ def classify(df: DataFrame, required: list[str], text: str = "chunk_text") -> Da
 
     Needs ``raw_response`` and the chunk's text; an empty chunk is a failure on its own.
     """
-    parsed = clean_replies(
-        df.withColumn("_content", envelope_content(F.col("raw_response"))), "_content"
-    )
+    parsed = clean_replies(with_content(df, "raw_response", "_content"), "_content")
     data = F.col("extracted")
     parsed = parsed.withColumn("_missing", missing_required(data, required))
     outcome = (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanframe.operators.attempts import as_results
-from gleanframe.operators.chunks import chunk_documents, known_files
+from gleanframe.operators.chunks import CHUNK_KEY, chunk_documents, known_files
 from gleanframe.spec import CHUNK_SCHEMA, LOG_SCHEMA, RUN_KEYS, ExtractionSpec
 
 
@@ -104,7 +104,9 @@ class Store:
 
     def _append_chunks(self, documents: DataFrame, size: int | None) -> None:
         new = chunk_documents(documents, size or self.spec.chunk_size)
-        new.repartition("file").write.mode("append").parquet(self._path("chunks"))
+        # Clustered and sorted by file, so lookups and joins on it prune row groups.
+        clustered = new.repartition("file").sortWithinPartitions(*CHUNK_KEY)
+        clustered.write.mode("append").parquet(self._path("chunks"))
 
     def write_wave(self, attempts: DataFrame, run_tag: str, run_id: str, wave: int) -> None:
         """Persist one wave's attempts, then derive its results from what was persisted.

@@ -321,14 +321,15 @@ def envelope_parse(spark, sf_dir):
         .when(kind == 5, F.concat(whole, F.lit(" and more")))
         .otherwise(whole)
     )
-    content = replies.envelope_content(raw)
-    return turns.select("conv_id", "turn", content.alias("content"), content.isNull().alias("failed"))
+    replied = turns.select("conv_id", "turn", raw.alias("raw"))
+    parsed = replies.with_content(replied, "raw", "content")
+    return parsed.select("conv_id", "turn", "content", F.col("content").isNull().alias("failed"))
 
 
 def json_clean(spark, sf_dir):
     requests = _texts(spark, sf_dir).withColumn("attempt", F.lit(1))
     raw = RuleCompleter()(requests, SPEC)
-    content = raw.withColumn("content", replies.envelope_content(F.col("raw_response")))
+    content = replies.with_content(raw, "raw_response", "content")
     cleaned = replies.clean_replies(content, "content")
     fields = [F.try_element_at("extracted", F.lit(n.name)).alias(n.name) for n in SPEC.nodes]
     return cleaned.select("file", "chunknumber", "stage", *fields)

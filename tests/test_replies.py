@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gleanframe.functions.replies import classify, clean_replies, envelope_content
+from gleanframe.functions.replies import classify, clean_replies, with_content
 
 CLEANING = [
     ('{"a":1}', "A", {"a": "1"}),
@@ -58,7 +58,7 @@ def test_cleaning_cascade(spark):
 
 def test_envelopes(spark):
     frame = spark.createDataFrame([(i, e[0]) for i, e in enumerate(ENVELOPES)], "i int, e string")
-    for row in frame.select("i", envelope_content(F.col("e")).alias("content")).collect():
+    for row in with_content(frame, "e", "content").collect():
         assert row.content == ENVELOPES[row.i][1], ENVELOPES[row.i]
 
 
