@@ -7,6 +7,8 @@ a wave after a failure replaces it instead of doubling it.  One writer per store
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 
 from gleanframe.operators.attempts import as_results
 from gleanframe.operators.chunks import CHUNK_KEY, chunk_documents, known_files
+from gleanframe.operators.pending import run_summary
 from gleanframe.spec import CHUNK_SCHEMA, LOG_SCHEMA, RUN_KEYS, ExtractionSpec
 
 
@@ -123,6 +126,16 @@ class Store:
             attempts = attempts.where(F.col("wave") == wave)
         self._overwrite("results", as_results(attempts, self.spec))
 
+    def summary(self, start: datetime, end: datetime, run_tag: str | None = None) -> DataFrame:
+        """Attempts, stored results and skipped chunks of an interval, in one row.
+
+        Without a run tag, failures of all tags active in the interval count together.
+        """
+        log, results = self.log(), self.results()
+        if run_tag:
+            log, results = (t.where(F.col("run_tag") == run_tag) for t in (log, results))
+        return run_summary(log, results, F.lit(start), F.lit(end), self.spec.max_failures)
+
     def run_log(self, run_tag: str, run_id: str) -> DataFrame:
         return self.log().where((F.col("run_tag") == run_tag) & (F.col("run_id") == run_id))
 

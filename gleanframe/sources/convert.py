@@ -11,10 +11,18 @@ from collections.abc import Callable, Iterator, Mapping
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.sources.documents import extension
+from gleanframe.sources.documents import (
+    CONVERTIBLE_EXTENSIONS,
+    TEXT_EXTENSIONS,
+    extension,
+    read_text,
+    route,
+    scan_extensions,
+    scan_folder,
+)
 
 Converter = Callable[[bytes], "str | None"]
 DOCUMENT_SCHEMA = "file string, content string, status string, error string"
@@ -56,6 +64,26 @@ def html_to_text(data: bytes) -> str:
     return "\n\n".join(line for line in (" ".join(b.split()) for b in blocks) if line)
 
 
+def folder_documents(
+    spark: SparkSession, folder: str, converters: Mapping[str, Converter] | None = None
+) -> DataFrame:
+    """Every file of a folder as ``(file, content, status, error)``: read, converted or skipped.
+
+    Each kind is scanned on its own, so no file's bytes are read twice and those of
+    unsupported files are not read at all.
+    """
+    no_error = F.lit(None).cast("string").alias("error")
+    text = read_text(scan_extensions(spark, folder, TEXT_EXTENSIONS)).select("*", no_error)
+    convertible = scan_extensions(spark, folder, CONVERTIBLE_EXTENSIONS)
+    skipped = (
+        scan_folder(spark, folder)
+        .select("file")
+        .where(route(F.col("file")) == "unsupported")
+        .select("file", no_error.alias("content"), F.lit("unsupported").alias("status"), no_error)
+    )
+    return text.unionByName(convert_files(convertible, converters or {})).unionByName(skipped)
+
+
 def convert_files(files: DataFrame, converters: Mapping[str, Converter]) -> DataFrame:
     """Convert ``(file, data)`` rows by extension into ``(file, content, status, error)``."""
     registry = dict(converters)

@@ -6,6 +6,8 @@ whose status is ``ok`` are cut into chunks.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,17 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).transform(as_files)
 
 
+def scan_extensions(spark: SparkSession, folder: str, extensions: Iterable[str]) -> DataFrame:
+    """As :func:`scan_folder`, reading only files with these extensions, in any case."""
+
+    def any_case(ext: str) -> str:
+        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
+
+    pattern = "*{" + ",".join(map(any_case, extensions)) + "}"
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    return as_files(reader.load(folder))
+
+
 def as_files(binary_files: DataFrame) -> DataFrame:
     return binary_files.select(F.col("path").alias("file"), F.col("content").alias("data"))
 

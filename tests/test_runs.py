@@ -1,5 +1,6 @@
 import json
 from dataclasses import replace
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,11 @@ def test_tags_and_runs_are_separate(spark, documents, spec, tmp_path):
     run_extraction(store, documents, RuleCompleter(), "b", "r1")
     per_tag = {r.run_tag: r["count"] for r in store.results().groupBy("run_tag").count().collect()}
     assert per_tag == {"a": done, "b": done}
+    ever = datetime(2020, 1, 1), datetime(2100, 1, 1)
+    summary = store.summary(*ever, run_tag="a").first()
+    assert summary.llm_calls == store.log().where("run_tag = 'a'").count()
+    assert (summary.successes, summary.skipped) == (done, store.chunks().count() - done)
+    assert store.summary(*ever).first().successes == 2 * done
     # A new run under the same tag attempts only what is left, with a fresh budget.
     again = run_extraction(store, documents, RuleCompleter(), "a", "r2")
     chunks = store.chunks().count()

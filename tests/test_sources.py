@@ -5,7 +5,7 @@ from gleanframe.operators.chunks import chunk_documents
 from gleanframe.operators.reports import export_results
 from gleanframe.operators.store import Store
 from gleanframe.plans.sample import SPEC
-from gleanframe.sources.convert import convert_files, html_to_text
+from gleanframe.sources.convert import convert_files, folder_documents, html_to_text
 from gleanframe.sources.documents import extension, read_text, route, scan_folder
 from gleanframe.sources.exports import read_export
 from gleanframe.streaming.ingest import folder_stream, ingest
@@ -72,6 +72,26 @@ def test_conversion_errors_stay_with_their_document(spark):
     assert found["b.pdf"].error == "RuntimeError: bad file"
 
 
+def test_folder_with_converters(spark, tmp_path):
+    for name, data in {
+        "a.MD": b"x\r\ny", "b.txt": b"a\xff", "c.Pdf": b"one", "d.docx": b"two", "e.csv": b"3",
+    }.items():
+        (tmp_path / name).write_bytes(data)
+
+    def shout(data):
+        return data.decode().upper()
+
+    documents = folder_documents(spark, str(tmp_path), {".pdf": shout})
+    found = {base(r.file): (r.status, r.content) for r in documents.collect()}
+    assert found == {
+        "a.MD": ("ok", "x\ny"),
+        "b.txt": ("undecodable", None),
+        "c.Pdf": ("ok", "ONE"),
+        "d.docx": ("unsupported", None),
+        "e.csv": ("unsupported", None),
+    }
+
+
 def test_export_with_stray_quotes(spark, tmp_path):
     path = tmp_path / "export.csv"
     path.write_text(
