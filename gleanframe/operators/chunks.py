@@ -13,7 +13,10 @@ CHUNK_KEY = ["file", "chunknumber"]
 
 
 def usable(documents: DataFrame) -> DataFrame:
-    return documents.where(F.col("status") == "ok")
+    """Documents with text.  The content conditions follow from the status, but unlike it
+    they reach the Parquet scan."""
+    has_text = F.col("content").isNotNull() & (F.col("content") != "")
+    return documents.where((F.col("status") == "ok") & has_text)
 
 
 def chunk_documents(documents: DataFrame, size: int) -> DataFrame:

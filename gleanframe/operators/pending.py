@@ -89,24 +89,22 @@ def run_summary(
 
 
 def consecutive_failures(log: DataFrame, salts: int = 16) -> DataFrame:
-    """Failures after each chunk's last success (after its start where it never succeeded).
+    """Failures later than each chunk's last success, all where it never succeeded.
 
     Attempts are salted, so those of one very frequent chunk are compared in ``salts``
     tasks instead of one.  The other side of the join holds one row per chunk and salt
     that occurs, so chunks with few attempts are not multiplied.
     """
-    order = F.struct("timestamp", "id")
     salted = log.select(
-        *CHUNK_KEY,
-        "success",
-        order.alias("at"),
-        F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"),
+        *CHUNK_KEY, "success", "timestamp", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")
     )
-    per_salt = salted.groupBy(*CHUNK_KEY, "salt").agg(F.max(F.when(F.col("success"), F.col("at"))).alias("at"))
+    success_at = F.when(F.col("success"), F.col("timestamp"))
+    per_salt = salted.groupBy(*CHUNK_KEY, "salt").agg(F.max(success_at).alias("success_at"))
     # At most ``salts`` rows per chunk reach the window.
-    last = F.max("at").over(Window.partitionBy(*CHUNK_KEY)).alias("last_success")
+    last = F.max("success_at").over(Window.partitionBy(*CHUNK_KEY)).alias("last_success")
     bounds = per_salt.select(*CHUNK_KEY, "salt", last)
-    after = ~F.col("success") & (F.col("last_success").isNull() | (F.col("at") > F.col("last_success")))
+    never = F.col("last_success").isNull()
+    after = ~F.col("success") & (never | (F.col("timestamp") > F.col("last_success")))
     return (
         salted.join(bounds, [*CHUNK_KEY, "salt"])
         .groupBy(*CHUNK_KEY)

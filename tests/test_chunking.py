@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.functions.chunking import BLOCK, chunk_bounds, slice_all
 from gleanframe.operators.chunks import chunk_documents, chunk_texts, duplicate_keys, slice_chunks
-from gleanframe.sources.documents import with_status
+from gleanframe.sources.documents import corpus, with_status
 
 VECTORS = [
     ("", 10, []),
@@ -117,6 +117,12 @@ def test_cutting_is_map_only(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_conditions_reach_the_scan(spark, sf_dir):
+    plan = chunk_documents(corpus(spark, sf_dir), 100)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(text), Not(EqualTo(text,))]" in plan
+    assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in plan
+
+
 def test_slices_of_changed_content(spark):
     chunks = spark.createDataFrame(
         [("a", 0, 0, 4), ("a", 1, 4, 9), ("a", 2, 9, 12), ("gone", 0, 0, 3)],

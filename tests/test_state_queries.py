@@ -35,9 +35,13 @@ def moment(at):
 
 
 def test_consecutive_failures(log, rows):
-    expected = defaultdict(int)
-    for _, file, n, _, ok, _ in sorted(rows, key=lambda r: (r[3], r[0])):
-        expected[file, n] = 0 if ok else expected[file, n] + 1
+    last = defaultdict(lambda: -1)
+    for _, file, n, at, ok, _ in rows:
+        if ok:
+            last[file, n] = max(last[file, n], at)
+    expected = {(r[1], r[2]): 0 for r in rows}
+    for _, file, n, at, ok, _ in rows:
+        expected[file, n] += not ok and at > last[file, n]
     for salts in (1, 16):
         found = P.consecutive_failures(log, salts).collect()
         assert {(r.file, r.chunknumber): r.consecutive_failures for r in found} == expected
