@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from gleanframe.session import shared_folder
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Bits of a key filter: 4 MB, however many keys there are.
 FILTER_BITS = 1 << 25
+# Rows with about so many bytes of text are worked on at a time.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +31,35 @@ def kept(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def cut(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``size`` bytes in their longest columns; a longer row stands alone.
+
+    Work arrays then follow ``size`` and the longest text, not the rows of a batch.
+    """
+    strings = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+    if not strings or not batch.num_rows:
+        yield batch
+        return
+    upto = np.zeros(batch.num_rows + 1, np.int64)
+    for column in strings:
+        upto[1:] += np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + size, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def map_batches(
-    frame: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    frame: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
-    """Apply a function to each Arrow batch of a frame."""
+    """Apply a function to the rows of a frame, in slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
-                yield out
+            for part in cut(batch):
+                if part.num_rows:
+                    yield function(part)
 
     return frame.mapInArrow(run, schema)
 

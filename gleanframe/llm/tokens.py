@@ -12,10 +12,12 @@ order: the range partitions are in order, and a partition writes its segments in
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanframe.llm.tables import cut
+from gleanframe.llm.words import Words, utf8, word_hashes
 from gleanframe.session import shared_folder
 
 CHUNK_BITS = 8
@@ -31,10 +35,12 @@ RANK_BITS = 512
 END_ID = 0
 # A segment is closed at this many tokens; a longer document has a segment of its own.
 SEGMENT_TOKENS = 1 << 20
-# Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 400_000
-# Texts are encoded in parts of about so many characters.
-PART_CHARS = 1 << 20
+# Pieces of text whose ids a worker remembers, some 40 MB.
+CACHE_PIECES = 1_000_000
+# Texts are encoded in slices of about so many bytes.
+SLICE_BYTES = 2 << 20
+# So many new pieces are encoded as one text.
+NEW_PIECES = 16_384
 
 SEGMENT_SCHEMA = (
     "part int, segment int, before long, n_tokens long, doc_ids array<bigint>, ends array<bigint>, "
@@ -105,65 +111,117 @@ def _from_row(levels: list[dict]) -> list[Level]:
 
 # --- encoding ---------------------------------------------------------------------------
 
-_ODD_SPACE = re.compile(r"\s\x20")
-_BEFORE_SPACE = re.compile(r"(?<=\S)(?=\x20)")
+_SECOND_BASE = np.uint64(0xA0761D6478BD642F)
+# What parts pieces when several are encoded as one text.
+_PART = "\n"
 
 
-def pieces(text: str) -> list[str]:
-    """Cut a text before every space that follows a non-space.
+def pieces(texts: pa.Array) -> Words:
+    """Cut texts before every space that follows a character surely no white space.
 
     The tokenizer's own pattern never joins characters across such a place and looks only
     ahead, so the ids of a text are those of its pieces, one after the other.
     """
-    if _ODD_SPACE.search(text):
-        return _BEFORE_SPACE.split(text)
-    first, *rest = text.split(" ")
-    return [p for p in (first, *[" " + p for p in rest]) if p]
+    data, offsets = utf8(texts)
+    begins = np.zeros(len(data), dtype=bool)
+    if len(data) > 1:
+        before = data[:-1]
+        begins[1:] = (data[1:] == 0x20) & (before > 0x20) & (before != 0x7F)
+        # Beyond ASCII: not after characters that share their lead bytes with white space.
+        begins[2:] &= data[:-2] != 0xC2
+        begins[3:] &= ~((data[:-3] >= 0xE1) & (data[:-3] <= 0xE3) & np.isin(data[1:-2], (0x80, 0x81, 0x9A)))
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(data))
+    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
 class Encoder:
-    """Ids of texts through a tokenizer file, remembering the ids of pieces of text."""
+    """Ids of texts through a tokenizer file, remembering the ids of pieces.
+
+    Pieces are known by 128 bits of hash and their ids lie in one array, so a remembered
+    piece takes some 40 bytes.  A full memory stays as it is and the rest is encoded anew.
+    """
 
     def __init__(self, path: str) -> None:
+        # A task has one core; the library would start threads of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def learn(self, new: list[str]) -> None:
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[piece] = np.array(code.ids, np.uint32).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        out = []
-        for text in texts:
-            # Special tokens may hold what the pattern would cut; such a text goes whole.
-            if self.special and self.special.search(text):
-                out.append(self.whole(text))
-                continue
-            cut, get = pieces(text), self.cache.get
-            ids = [get(p) for p in cut]
-            if None in ids:
-                new = dict.fromkeys(p for p, i in zip(cut, ids) if i is None)
-                if len(new) > CACHE_PIECES // 4:
-                    out.append(self.whole(text))
-                    continue
-                self.learn(list(new))
-                if None in (ids := [self.cache.get(p) for p in cut]):
-                    self.learn([*dict.fromkeys(p for p, i in zip(cut, ids) if i is None)])
-                    ids = [self.cache[p] for p in cut]
-            out.append(b"".join(ids))
-        return out
+        self.part = np.array(self._ids(_PART), np.uint32)
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _ids(self, text: str) -> array:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, joined, and how many each has.
+
+        Pieces without inner white space are encoded as one text with a separator, which is
+        a token of its own between them.
+        """
+        plain = np.array([len(p[1:].split()) == 1 and len(p.split()) == 1 and p[-1] > " " for p in new], bool)
+        plain &= np.array([p.isascii() and p.isprintable() or p[1:].isalpha() for p in new], bool)
+        sizes, out = np.zeros(len(new), np.int64), [np.zeros(0, np.uint32)] * len(new)
+        together = np.flatnonzero(plain)
+        if len(self.part) == 1 and len(together):
+            ids = np.array(self._ids(_PART.join(new[i] for i in together)), np.uint32)
+            split = np.split(ids, np.flatnonzero(ids == self.part[0]))
+            if len(split) == len(together):
+                for k, i in enumerate(together):
+                    out[i] = split[k][1:] if k else split[k]
+            else:
+                plain[:] = False
+        else:
+            plain[:] = False
+        for i in np.flatnonzero(~plain):
+            out[i] = np.array(self._ids(new[i]), np.uint32)
+        sizes[:] = [len(x) for x in out]
+        return np.concatenate(out), sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts and where those of each row begin."""
+        w = pieces(texts)
+        if not len(w.starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        keys, first, back = np.unique(word_hashes(w), return_index=True, return_inverse=True)
+        some = w._replace(starts=w.starts[first], ends=w.ends[first])
+        checks = word_hashes(some, _SECOND_BASE)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = (self.keys[at] == keys) & (self.checks[at] == checks) if len(self.keys) else np.zeros(len(keys), bool)
+        starts, sizes = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        starts[known], sizes[known] = self.starts[at[known]], self.sizes[at[known]]
+        ids, missing = self.ids, np.flatnonzero(~known)
+        if len(missing):
+            new = [w.data[a:b].tobytes().decode("utf-8") for a, b in zip(some.starts[missing], some.ends[missing])]
+            parts = [self._encode_new(new[i : i + NEW_PIECES]) for i in range(0, len(new), NEW_PIECES)]
+            more = np.concatenate([part[0] for part in parts])
+            sizes[missing] = np.concatenate([part[1] for part in parts])
+            starts[missing] = len(ids) + np.cumsum(sizes[missing]) - sizes[missing]
+            ids = np.concatenate([ids, more])
+            if len(self.keys) + len(missing) <= CACHE_PIECES:
+                self._remember(keys[missing], checks[missing], starts[missing], sizes[missing], ids)
+        each = sizes[back]
+        upto = np.cumsum(each)
+        place = np.arange(upto[-1]) - np.repeat(upto - each, each) + np.repeat(starts[back], each)
+        return ids[place], np.concatenate([[0], upto])[w.first]
+
+    def _remember(self, keys, checks, starts, sizes, ids) -> None:
+        order = np.argsort(all_keys := np.concatenate([self.keys, keys]), kind="stable")
+        self.keys = all_keys[order]
+        self.checks = np.concatenate([self.checks, checks])[order]
+        self.starts = np.concatenate([self.starts, starts])[order]
+        self.sizes = np.concatenate([self.sizes, sizes])[order]
+        self.ids = ids
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One per worker, which serves many tasks."""
+    return Encoder(path)
 
 
 # --- files ------------------------------------------------------------------------------
@@ -178,16 +236,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], np.uint32).tobytes()
-        ids: list[bytes] = []
-        names: list[int | None] = []
+        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        names: list[pa.Array] = []
         size = before = number = 0
 
         def segment() -> pa.RecordBatch:
             nonlocal before, number, size
-            values = np.frombuffer(b"".join(ids), np.uint32)
-            ends = np.cumsum([len(x) // 4 for x in ids])
+            values = np.concatenate(ids)
             levels = [
                 {"chunks": x.chunks.tobytes(), "bitmap": x.bitmap.tobytes(), "ranks": x.ranks.tobytes()}
                 for x in pack(values)
@@ -197,25 +254,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 "segment": pa.array([number], pa.int32()),
                 "before": pa.array([before], pa.int64()),
                 "n_tokens": pa.array([len(values)], pa.int64()),
-                "doc_ids": pa.array([names], pa.list_(pa.int64())),
-                "ends": pa.array([ends], pa.list_(pa.int64())),
+                "doc_ids": pa.array([pa.concat_arrays(names).to_pylist()], pa.list_(pa.int64())),
+                "ends": pa.array([np.cumsum(np.concatenate(sizes))], pa.list_(pa.int64())),
                 "levels": pa.array([levels], LEVELS),
             }
             before, number, size = before + len(values), number + 1, 0
-            ids.clear()
-            names.clear()
+            for kept in (ids, sizes, names):
+                kept.clear()
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), batch.column("text")
-            for at in range(0, batch.num_rows, 64):
-                got = encoder.encode([t or "" for t in texts.slice(at, 64).to_pylist()])
-                for name, code in zip(doc_ids.slice(at, 64).to_pylist(), got):
-                    names.append(name)
-                    ids.append(code + end)
-                    size += len(code) // 4 + 1
-                    if size >= SEGMENT_TOKENS:
-                        yield segment()
+            for rows in cut(batch, SLICE_BYTES):
+                got, first = encode(rows.column("text"))
+                ids.append(np.insert(got, first[1:], end_id))
+                sizes.append(np.diff(first) + 1)
+                names.append(rows.column("doc_id"))
+                size += len(ids[-1])
+                if size >= SEGMENT_TOKENS:
+                    yield segment()
         if ids:
             yield segment()
 

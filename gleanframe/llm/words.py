@@ -81,7 +81,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def word_hashes(w: Words) -> np.ndarray:
+def word_hashes(w: Words, base: np.uint64 = _BASE) -> np.ndarray:
     """One hash per word, equal for equal words wherever they stand."""
     sizes = w.ends - w.starts
     upto = np.cumsum(sizes)
@@ -92,7 +92,7 @@ def word_hashes(w: Words) -> np.ndarray:
         j = max(i + 1, int(np.searchsorted(upto, before + BLOCK, side="right")))
         size, first = sizes[i:j], upto[i:j] - sizes[i:j] - before
         place = np.arange(upto[j - 1] - before) - np.repeat(first, size)
-        powers = np.cumprod(np.full(int(size.max()), _BASE, dtype=np.uint64))
+        powers = np.cumprod(np.full(int(size.max()), base, dtype=np.uint64))
         value = w.data[np.repeat(w.starts[i:j], size) + place].astype(np.uint64) + np.uint64(1)
         out[i:j] = np.add.reduceat(value * powers[place], first)
         i = j
