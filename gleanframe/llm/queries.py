@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.llm import html, jaccard, mixing, quality, repeats, secrets, tokens, toxicity
+from gleanframe.llm import html, jaccard, lm, mixing, quality, repeats, secrets, tokens, toxicity
 from gleanframe.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, model)
 
 
+@query
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
