@@ -123,7 +123,7 @@ def matches_for(tokens: np.ndarray, base: int, n: int, noise: float) -> int:
 
 
 def prefixes(docs: DataFrame, join: Join, counts: np.ndarray) -> DataFrame:
-    """``(doc_id, n, id, ell, tokens)`` per document: its set's size, name and prefix."""
+    """``(doc_id, text_key, n, id, ell, tokens)``: each document's set size, name and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     noise = float(counts.mean()) + 1
 
@@ -144,6 +144,7 @@ def prefixes(docs: DataFrame, join: Join, counts: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
+                "text_key": batch.column("text_key"),
                 "n": pa.array(sizes, pa.int64()),
                 "id": pa.array(names, pa.int64()),
                 "ell": pa.array(ells, pa.int32()),
@@ -151,8 +152,7 @@ def prefixes(docs: DataFrame, join: Join, counts: np.ndarray) -> DataFrame:
             }
         )
 
-    pairs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(pairs, run, "doc_id long, n long, id long, ell int, tokens array<bigint>")
+    return map_batches(docs, run, "doc_id long, text_key long, n long, id long, ell int, tokens array<bigint>")
 
 
 def _buckets(sets: DataFrame, join: Join) -> DataFrame:
@@ -213,15 +213,15 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, join: Join) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """``(doc_id, id, n, component, component_id)`` per row of ``docs``.
+    """``(doc_id, text_key, id, n, component, component_id)`` per row of ``docs``.
 
-    ``id`` names the row's set, ``component`` its class of linked sets and ``component_id``
+    ``text_key`` is a hash of the text, ``id`` names the row's set, ``component`` its class of linked sets and ``component_id``
     is the least doc_id of the class.  A null text or one without words has an empty set,
     is linked with nothing and is a class of its own.  Null ids never name a class (a class
     of rows without ids has a null one).  Repeated rows are equal sets, hence one class;
     extra columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"))
     counts = shingle_counts(docs, join)
     sets = kept(prefixes(docs, join, counts))
     buckets = kept(_buckets(sets, join))
@@ -241,10 +241,10 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
         return pairs.join(left, "a").join(right, "b").where(met).select("a", "b")
 
     labels = components(links(buckets, possible, verify, matches=True))
-    named = sets.select("doc_id", "id", "n").join(labels, "id", "left").withColumn(
+    named = sets.select("doc_id", "text_key", "id", "n").join(labels, "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
     least = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select(
-        "doc_id", "id", "n", "component", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_key", "id", "n", "component", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -24,11 +24,6 @@ HUB_MASK = 0x5DEECE66D1234567
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def overlap_needed(a: Column, b: Column, num: int, den: int) -> Column:
-    """``(num + den)`` times the least overlap of sets of these sizes with Jaccard >= num / den."""
-    return (a + b) * num
-
-
 def _open(buckets: DataFrame) -> DataFrame:
     """Rows of the buckets whose members are in more than one component."""
     spread = buckets.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))

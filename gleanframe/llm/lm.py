@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gleanframe.llm.tables import cut, kept
 from gleanframe.llm.words import Words, lists, signed, word_hashes, words
 
-DEPTH = 4
+DEPTH = 5
 END, SPACE = 0x0A, 0x20
 # Documents whose crc32(doc_id) mod 7 is this are held out.
 HELD_OUT = 2

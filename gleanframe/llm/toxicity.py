@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     Presence counts, not frequency, so a long text isn't diluted.
     """
-    w = words(texts, lower=True)
+    w = words(pc.utf8_lower(texts))
     rows = len(w.first) - 1
     if not len(w.starts):
         return np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
