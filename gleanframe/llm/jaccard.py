@@ -31,9 +31,9 @@ CELLS = 1 << 20
 CELLS_PER_ROW = 4096
 # Partial count tables are added up in groups of tasks first.
 TASK_GROUPS = 64
-MAX_MATCHES = 4
-# Cost of verifying a candidate, in looked-up postings, per 64 shingles.
-VERIFY_COST = 1.0
+MAX_MATCHES = 16
+# Cost of verifying a candidate, in looked-up postings, per shingle of its set.
+VERIFY_COST = 1 / 16
 
 
 @dataclass(frozen=True)
@@ -103,41 +103,41 @@ def ordered_tokens(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.sort(rank << np.uint64(56) | items >> np.uint64(8))
 
 
-def matches_for(tokens: np.ndarray, base: int, n: int, noise: float) -> int:
-    """The number of matches with the least estimated cost.
+def matches_for(hits: np.ndarray, first: np.ndarray, base: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's number of matches with the least estimated cost, and whether it may be linked.
 
-    With ``ell`` matches the postings of ``base + ell - 1`` tokens are looked up, and at
-    most their total divided by ``ell`` documents can be candidates.
+    ``hits`` marks the prefix tokens that other prefixes share.  With ``ell`` matches their
+    postings are looked up, and at most their number divided by ``ell`` sets are candidates
+    per posting.  A set with fewer than ``ell`` shared tokens in the prefix for ``ell``, for
+    any ``ell``, is linked with nothing.
     """
-    rank = (tokens[: base + MAX_MATCHES - 1] >> np.uint64(56)).astype(np.float64)
-    postings = np.cumsum(np.maximum(2 ** (rank / 4) - noise, 0.0))
-    best, least = 1, np.inf
+    upto = np.concatenate([[0], np.cumsum(hits)])
+    best, least = np.ones(len(n), np.int64), np.full(len(n), np.inf)
+    may = np.ones(len(n), bool)
     for ell in range(1, MAX_MATCHES + 1):
-        if base + ell - 1 > n:
-            break
-        total = postings[base + ell - 2]
-        cost = total + total / ell * (1 + VERIFY_COST * n / 64)
-        if cost < least:
-            best, least = ell, cost
-    return best
+        valid = base + ell - 1 <= n
+        end = np.where(valid, first[:-1] + base + ell - 1, first[:-1])
+        shared = upto[end] - upto[first[:-1]]
+        may &= ~valid | (shared >= ell)
+        cost = shared + shared / ell * (1 + n * VERIFY_COST)
+        better = valid & (cost < least)
+        best, least = np.where(better, ell, best), np.where(better, cost, least)
+    return best, may
 
 
 def prefixes(docs: DataFrame, join: Join, counts: np.ndarray) -> DataFrame:
-    """``(doc_id, text_key, n, id, ell, tokens)``: each document's set size, name and prefix."""
+    """``(doc_id, text_key, n, id, tokens)``: each document's set size, name and longest prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    noise = float(counts.mean()) + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, names, ells, tokens, upto = [], [], [], [], [0]
+        sizes, names, tokens, upto = [], [], [], [0]
         for items in document_sets(batch.column("text"), join.words):
             n = len(items)
             order = ordered_tokens(items, shared.value)
             base = int(join.base_prefix(np.int64(n))) if n else 0
-            ell = matches_for(order, base, n, noise) if n else 1
-            take = order[: base + ell - 1] if n else order[:0]
+            take = order[: base + MAX_MATCHES - 1] if n else order[:0]
             sizes.append(n)
             names.append(set_id(items))
-            ells.append(ell)
             tokens.append(take)
             upto.append(upto[-1] + len(take))
         flat = pa.array(signed(np.concatenate(tokens)))
@@ -147,12 +147,11 @@ def prefixes(docs: DataFrame, join: Join, counts: np.ndarray) -> DataFrame:
                 "text_key": batch.column("text_key"),
                 "n": pa.array(sizes, pa.int64()),
                 "id": pa.array(names, pa.int64()),
-                "ell": pa.array(ells, pa.int32()),
                 "tokens": lists(flat, np.array(upto)),
             }
         )
 
-    return map_batches(docs, run, "doc_id long, text_key long, n long, id long, ell int, tokens array<bigint>")
+    return map_batches(docs, run, "doc_id long, text_key long, n long, id long, tokens array<bigint>")
 
 
 def _buckets(sets: DataFrame, join: Join) -> DataFrame:
@@ -170,25 +169,26 @@ def _buckets(sets: DataFrame, join: Join) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         listed = batch.column("tokens")
         flat = listed.flatten().to_numpy().astype(np.int64)
-        sizes = np.diff(listed.offsets.to_numpy())
-        first = np.cumsum(sizes) - sizes
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(flat)) - np.repeat(first, sizes)
+        first = np.concatenate([[0], np.cumsum(np.diff(listed.offsets.to_numpy()))])
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        place = np.arange(len(flat)) - first[row]
         hit = maybe(bitmap.value, flat)
-        missed = np.concatenate([[0], np.cumsum(~hit)])
-        lost = missed[:-1] - missed[first][row] if len(flat) else np.zeros(0, np.int64)
-        n = batch.column("n").to_numpy()[row]
+        n = batch.column("n").to_numpy()
         base = join.base_prefix(n)
+        ell, may = matches_for(hit, first, base, n)
+        missed = np.concatenate([[0], np.cumsum(~hit)])
+        lost = missed[:-1] - missed[first[row]]
+        level = np.maximum(1, place - base[row] + 2)
         # A set can't reach the threshold once it has lost more than the rest may differ.
-        use = hit & ((n - lost) * join.den >= n * join.num)
+        use = hit & may[row] & (level <= ell[row]) & ((n[row] - lost) * join.den >= n[row] * join.num)
         out = {
-            "token": flat, "id": batch.column("id").to_numpy()[row], "n": n, "lost": lost,
-            "level": np.maximum(1, place - base + 2), "ell": batch.column("ell").to_numpy()[row].astype(np.int64),
+            "token": flat, "id": batch.column("id").to_numpy()[row], "n": n[row], "lost": lost, "level": level,
+            "ell": ell[row],
         }
         return pa.RecordBatch.from_pydict({k: pa.array(v[use]) for k, v in out.items()})
 
     schema = "token long, id long, n long, lost long, level long, ell long"
-    found = map_batches(sets.where("n > 0").select("id", "n", "ell", "tokens"), run, schema)
+    found = map_batches(sets.where("n > 0").select("id", "n", "tokens"), run, schema)
     return found.distinct().join(shared, "token", "left_semi")
 
 
@@ -225,7 +225,6 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     counts = shingle_counts(docs, join)
     sets = kept(prefixes(docs, join, counts))
     buckets = kept(_buckets(sets, join))
-    items = kept(_whole_sets(docs, buckets.select("id").distinct(), join))
 
     def possible(a: str, b: str) -> Column:
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -233,6 +232,9 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
         return bound * (join.num + join.den) >= (n + m) * join.num
 
     def verify(pairs: DataFrame) -> DataFrame:
+        pairs = kept(pairs)
+        named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        items = kept(_whole_sets(docs, named, join))
         left = items.select(F.col("id").alias("a"), F.col("items").alias("of_a"))
         right = items.select(F.col("id").alias("b"), F.col("items").alias("of_b"))
         common = F.size(F.array_intersect("of_a", "of_b"))

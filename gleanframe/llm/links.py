@@ -48,40 +48,29 @@ def links(buckets: DataFrame, possible: Callable[[str, str], Column], verify: Ve
     rows = kept(_open(buckets.withColumn("component", F.col("id"))))
     hubs = rows.groupBy("token").agg(F.min(F.col("id").bitwiseXOR(F.lit(HUB_MASK))).alias("hub"))
     hubs = hubs.select("token", F.col("hub").bitwiseXOR(F.lit(HUB_MASK)).alias("hub"))
-    x, h = rows.alias("x"), rows.alias("h")
-    hub_rows = h.join(hubs.alias("k"), (F.col("h.token") == F.col("k.token")) & (F.col("h.id") == F.col("k.hub")))
-    hub_rows = hub_rows.select("h.*").alias("h")
-    near = x.join(
-        hub_rows, (F.col("x.token") == F.col("h.token")) & (F.col("x.id") != F.col("h.id")) & possible("x", "h")
-    )
-    pairs = near.select(F.least("x.id", "h.id").alias("a"), F.greatest("x.id", "h.id").alias("b")).distinct()
-    first = kept(verify(pairs))
+    hub_rows = rows.join(hubs.withColumnRenamed("hub", "id"), ["token", "id"])
+
+    def near(left: DataFrame, right: DataFrame, once: Column) -> DataFrame:
+        fits = (F.col("o.token") == F.col("x.token")) & once & possible("o", "x")
+        ell = F.lit(1)
+        if matches:
+            ell = F.least("o.ell", "x.ell")
+            fits = fits & (F.col("o.level") <= ell) & (F.col("x.level") <= ell)
+        pairs = left.alias("o").join(right.alias("x"), fits).select(
+            F.least("o.id", "x.id").alias("a"), F.greatest("o.id", "x.id").alias("b"), ell.alias("ell")
+        )
+        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.max("ell").alias("ell"))
+        return counted.where("common >= ell").select("a", "b")
+
+    # A pair may share more buckets than those with this hub; it then has its turn below.
+    first = kept(verify(near(rows, hub_rows, F.col("o.id") != F.col("x.id"))))
 
     rows = kept(_open(_labelled(rows, first)))
     # The component of the hub is the large one; only members outside of it start pairs.
-    of_hub = rows.join(
-        hubs.withColumnRenamed("hub", "id").withColumn("is_hub", F.lit(True)), ["token", "id"]
-    ).select("token", F.col("component").alias("main"))
-    outside = rows.join(of_hub, "token", "left").where("main is null or component <> main").drop("main").alias("o")
-    every = rows.join(of_hub, "token", "left").withColumn(
+    of_hub = rows.join(hubs.withColumnRenamed("hub", "id"), ["token", "id"])
+    of_hub = of_hub.select("token", F.col("component").alias("main"))
+    rows = rows.join(of_hub, "token", "left").withColumn(
         "in_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False))
-    ).drop("main").alias("x")
-    fits = (
-        (F.col("o.token") == F.col("x.token"))
-        & (F.col("o.component") != F.col("x.component"))
-        & (F.col("x.in_main") | (F.col("o.id") < F.col("x.id")))
-        & possible("o", "x")
-    )
-    if matches:
-        both = F.least("o.ell", "x.ell")
-        fits = fits & (F.col("o.level") <= both) & (F.col("x.level") <= both)
-    left = outside.join(every, fits).select(
-        F.least("o.id", "x.id").alias("a"),
-        F.greatest("o.id", "x.id").alias("b"),
-        *([F.least("o.ell", "x.ell").alias("ell")] if matches else []),
     )
-    if matches:
-        counted = left.groupBy("a", "b").agg(F.count("*").alias("common"), F.max("ell").alias("ell"))
-        left = counted.where("common >= ell")
-    second = verify(left.select("a", "b").distinct())
-    return first.unionByName(second)
+    once = (F.col("o.component") != F.col("x.component")) & (F.col("x.in_main") | (F.col("o.id") < F.col("x.id")))
+    return first.unionByName(verify(near(rows.where("not in_main"), rows, once)))
