@@ -26,9 +26,9 @@ from gleanframe.llm.links import links
 from gleanframe.llm.tables import cut, kept, key_filter, map_batches, maybe
 from gleanframe.llm.words import lists, mix, shingles, signed, word_hashes, words
 
-# Cells of the count table: 4 MB, whatever the corpus holds.
-CELLS = 1 << 20
-CELLS_PER_ROW = 4096
+# Cells of the count table: a byte each in the end, whatever the corpus holds.
+CELLS = 1 << 22
+CELLS_PER_ROW = 1 << 14
 # Partial count tables are added up in groups of tasks first.
 TASK_GROUPS = 64
 MAX_MATCHES = 16
@@ -63,14 +63,14 @@ def set_id(items: np.ndarray) -> int:
     return int(signed(mix(np.array([total + np.uint64(len(items))], np.uint64)))[0])
 
 
-def shingle_counts(docs: DataFrame, join: Join) -> np.ndarray:
-    """How many documents hold the shingles of each cell, over the whole corpus.
+def shingle_ranks(docs: DataFrame, join: Join) -> np.ndarray:
+    """How many documents hold the shingles of each cell, over the whole corpus, as a rank.
 
-    Each task adds up its documents in one table; tables are summed cell by cell in Spark.
+    Ranks are quarter octaves.  Each task adds up its documents in one table; tables are summed cell by cell in Spark.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.int32)
         for batch in batches:
             for items in chain.from_iterable(document_sets(b.column("text"), join.words) for b in cut(batch)):
                 np.add.at(cells, (items & np.uint64(CELLS - 1)).astype(np.int64), 1)
@@ -82,24 +82,30 @@ def shingle_counts(docs: DataFrame, join: Join) -> np.ndarray:
             )
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist())
+        total = np.zeros(CELLS_PER_ROW, np.int64)
+        for part in table["counts"]:
+            total += np.frombuffer(part.as_py(), np.int64 if len(part.as_py()) == 8 * CELLS_PER_ROW else np.int32)
         return pa.table({"block": table["block"].slice(0, 1).cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, counts binary"
     parts = docs.select(F.col("text").cast("string")).mapInArrow(count, schema)
     grouped = parts.withColumn("task", F.spark_partition_id() % TASK_GROUPS)
     once = grouped.groupBy("block", "task").applyInArrow(add, schema)
-    total = np.zeros((CELLS // CELLS_PER_ROW, CELLS_PER_ROW), np.int64)
-    # CELLS numbers in all.
-    for row in once.groupBy("block").applyInArrow(add, schema).collect():
-        total[row["block"]] = np.frombuffer(row["counts"], np.int64)
+    def ranked(table: pa.Table) -> pa.Table:
+        counts = np.frombuffer(add(table)["counts"][0].as_py(), np.int64)
+        ranks = np.minimum(np.log2(counts + 1.0) * 4, 255).astype(np.uint8)
+        return pa.table({"block": table["block"].slice(0, 1), "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
+    total = np.zeros((CELLS // CELLS_PER_ROW, CELLS_PER_ROW), np.uint8)
+    # CELLS bytes in all.
+    for row in once.groupBy("block").applyInArrow(ranked, "block int, ranks binary").collect():
+        total[row["block"]] = np.frombuffer(row["ranks"], np.uint8)
     return total.ravel()
 
 
-def ordered_tokens(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Tokens in the global order: the estimate's quarter octaves above 56 bits of hash."""
-    estimate = counts[(items & np.uint64(CELLS - 1)).astype(np.int64)]
-    rank = np.minimum(np.log2(estimate + 1.0) * 4, 255).astype(np.uint64)
+def ordered_tokens(items: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Tokens in the global order: the rank of their count above 56 bits of hash."""
+    rank = ranks[(items & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
     return np.sort(rank << np.uint64(56) | items >> np.uint64(8))
 
 
@@ -125,9 +131,9 @@ def matches_for(hits: np.ndarray, first: np.ndarray, base: np.ndarray, n: np.nda
     return best, may
 
 
-def prefixes(docs: DataFrame, join: Join, counts: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, join: Join, ranks: np.ndarray) -> DataFrame:
     """``(doc_id, text_key, n, id, tokens)``: each document's set size, name and longest prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, names, tokens, upto = [], [], [], [0]
@@ -222,8 +228,7 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     extra columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"))
-    counts = shingle_counts(docs, join)
-    sets = kept(prefixes(docs, join, counts))
+    sets = kept(prefixes(docs, join, shingle_ranks(docs, join)))
     buckets = kept(_buckets(sets, join))
 
     def possible(a: str, b: str) -> Column:

@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from gleanframe.llm.components import components
 from gleanframe.llm.tables import kept
 
-# Hubs are the least ids after an exclusive-or with this value: any fixed choice does.
-HUB_MASK = 0x5DEECE66D1234567
-
 # Checks candidate pairs (a, b) and returns the linked ones.
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -42,13 +39,16 @@ def links(buckets: DataFrame, possible: Callable[[str, str], Column], verify: Ve
 
     ``buckets`` has ``token``, ``id`` and whatever ``possible`` reads: a condition on two
     aliased rows of a bucket that every linked pair meets.  With ``matches`` the rows carry
-    ``level`` and ``ell``, and a pair needs as many common tokens within both sides' first
+    ``lost``, ``level`` and ``ell``, and a pair needs as many common tokens within both sides' first
     ``min(ell)`` levels as the lesser ``ell``.
     """
-    rows = kept(_open(buckets.withColumn("component", F.col("id"))))
-    hubs = rows.groupBy("token").agg(F.min(F.col("id").bitwiseXOR(F.lit(HUB_MASK))).alias("hub"))
-    hubs = hubs.select("token", F.col("hub").bitwiseXOR(F.lit(HUB_MASK)).alias("hub"))
-    hub_rows = rows.join(hubs.withColumnRenamed("hub", "id"), ["token", "id"])
+    # The hub is the member that lost least, which is near the centre of a group of copies;
+    # among equals, any fixed choice.
+    lost = F.least(F.col("lost"), F.lit((1 << 15) - 1)) if matches else F.lit(0).cast("long")
+    rank = F.shiftleft(lost, 48) + F.shiftrightunsigned(F.xxhash64("id"), 16)
+    rows = kept(_open(buckets.withColumn("component", F.col("id")).withColumn("rank", rank)))
+    hubs = rows.groupBy("token").agg(F.min("rank").alias("rank"))
+    hub_rows = rows.join(hubs, ["token", "rank"])
 
     def near(left: DataFrame, right: DataFrame, once: Column) -> DataFrame:
         fits = (F.col("o.token") == F.col("x.token")) & once & possible("o", "x")
@@ -67,8 +67,7 @@ def links(buckets: DataFrame, possible: Callable[[str, str], Column], verify: Ve
 
     rows = kept(_open(_labelled(rows, first)))
     # The component of the hub is the large one; only members outside of it start pairs.
-    of_hub = rows.join(hubs.withColumnRenamed("hub", "id"), ["token", "id"])
-    of_hub = of_hub.select("token", F.col("component").alias("main"))
+    of_hub = rows.join(hubs, ["token", "rank"]).groupBy("token").agg(F.min("component").alias("main"))
     rows = rows.join(of_hub, "token", "left").withColumn(
         "in_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False))
     )
