@@ -60,7 +60,7 @@ def minima(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     for band in range(BANDS):
         key = np.full(len(first) - 1, band + 1, dtype=np.uint64)
         for row in range(ROWS):
-            salt = np.uint64(0x9E3779B97F4A7C15) * np.uint64(band * ROWS + row + 1)
+            salt = np.uint64(0x9E3779B97F4A7C15 * (band * ROWS + row + 1) % (1 << 64))
             key = mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(mix(grams ^ salt), first[:-1]))
         keys.append(key)
     return np.stack(keys)
