@@ -11,9 +11,13 @@ from gleanframe.spec import LOG_SCHEMA, ExtractionSpec
 
 
 def request_id(run_tag: Column, run_id: Column) -> Column:
-    """A stable id per attempt: the same after a task is retried or a wave rewritten."""
+    """A stable id per attempt: the same after a task is retried or a wave rewritten.
+
+    Separators inside a part are escaped, so different parts never give the same text.
+    """
     parts = [run_tag, run_id, F.col("file"), F.col("chunknumber"), F.col("attempt")]
-    return F.sha2(F.concat_ws("|", *[part.cast("string") for part in parts]), 256)
+    escaped = [F.regexp_replace(part.cast("string"), r"([\\|])", r"\\$1") for part in parts]
+    return F.sha2(F.concat_ws("|", *[F.coalesce(part, F.lit("\\N")) for part in escaped]), 256)
 
 
 def attempt(

@@ -20,10 +20,6 @@ from gleanframe.operators.pending import run_summary
 from gleanframe.spec import CHUNK_SCHEMA, LOG_SCHEMA, RUN_KEYS, ExtractionSpec
 
 
-# Counted sets of keys up to this many rows (some tens of MB) are broadcast.
-BROADCAST_ROWS = 200_000
-
-
 class Store:
     def __init__(self, spark: SparkSession, root: str, spec: ExtractionSpec) -> None:
         self.spark = spark
@@ -37,7 +33,9 @@ class Store:
     def _exists(self, table: str) -> bool:
         try:
             self.spark.read.schema("x int").parquet(self._path(table))
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return False
         return True
 
@@ -77,20 +75,11 @@ class Store:
         """Cut and append the chunks of documents the store does not know yet.
 
         The first writer of a file wins: later sizes or contents leave its bounds alone.
-        New files are counted by name first, so content is neither moved nor cut where
-        nothing is new, and stays in place where few files are.  All rows of a file are
-        written by one task, so a file is registered wholly or not at all.
+        Adaptive execution picks the join by the measured size of the known names.  All rows
+        of a file are written by one task, so a file is registered wholly or not at all.
         """
         if self.has_chunks():
-            known = known_files(self.chunks())
-            new = documents.select("file").join(known, "file", "left_anti")
-            count = new.count()
-            if count == 0:
-                return
-            if count <= BROADCAST_ROWS:
-                documents = documents.join(F.broadcast(new), "file", "left_semi")
-            else:
-                documents = documents.join(known, "file", "left_anti")
+            documents = documents.join(known_files(self.chunks()), "file", "left_anti")
         self._append_chunks(documents, size)
 
     def register_batch(self, documents: DataFrame, size: int | None = None) -> None:

@@ -105,16 +105,13 @@ LOG = f"""log AS (
 
 
 def pending(run_tag: str | None) -> str:
-    done = f"AND r.run_tag = '{run_tag}'" if run_tag else ""
-    own = f"AND l.run_tag = '{run_tag}'" if run_tag else ""
+    own = f"run_tag = '{run_tag}'" if run_tag else "true"
     return f"""
-SELECT c.file, c.chunknumber FROM (SELECT DISTINCT file, chunknumber FROM log) c
-LEFT JOIN (SELECT * FROM log WHERE stored) r
-  ON c.file = r.file AND c.chunknumber = r.chunknumber {done}
-WHERE r.file IS NULL AND NOT EXISTS (
-  SELECT 1 FROM log l WHERE l.file = c.file AND l.chunknumber = c.chunknumber
-    AND NOT l.success AND l.ts > {START} {own}
-  GROUP BY l.file, l.chunknumber HAVING count(*) >= {MAX_FAILURES})"""
+SELECT file, chunknumber FROM (
+  SELECT file, chunknumber, bool_or(stored AND {own}) AS has_result,
+         count(*) FILTER (WHERE NOT success AND {own} AND ts > {START}) AS failed
+  FROM log GROUP BY file, chunknumber) per_chunk
+WHERE NOT has_result AND failed < {MAX_FAILURES}"""
 
 
 SKIPPED = f"""SELECT file, chunknumber, count(*) AS failures FROM log
@@ -426,11 +423,11 @@ ORACLES: dict[str, str] = {
     ),
     "doc_routing": """SELECT '/data/' || source || '/' || doc_id || ending AS file,
         CASE ending WHEN '.TXT' THEN '.txt' WHEN '.DocX' THEN '.docx' WHEN '.tar.gz' THEN '.gz'
-          WHEN '/.md' THEN '' WHEN '.d/notes' THEN '' ELSE ending END AS ext,
-        CASE WHEN ending IN ('.md', '.TXT') THEN 'text'
+          WHEN '/.md' THEN '' WHEN '.d/notes' THEN '' WHEN '..md' THEN '.md' ELSE ending END AS ext,
+        CASE WHEN ending IN ('.md', '.TXT', '..md') THEN 'text'
           WHEN ending IN ('.pdf', '.DocX', '.pptx') THEN 'convertible' ELSE 'unsupported' END AS kind
       FROM (SELECT *, ['.md', '.TXT', '.pdf', '.DocX', '.pptx', '.csv', '', '.tar.gz', '/.md',
-        '.d/notes'][doc_id % 10 + 1] AS ending FROM documents)""",
+        '.d/notes', '..md'][doc_id % 11 + 1] AS ending FROM documents)""",
     "text_normalize": f"WITH {RAW} SELECT file, content, status FROM raw",
     "doc_status": f"WITH {RAW} SELECT status, count(*) AS files FROM raw GROUP BY status",
     "stream_ingest": chunks(' SELECT file, chunknumber, start, "end" FROM chunks'),

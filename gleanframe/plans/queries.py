@@ -503,7 +503,7 @@ def top_results(spark, sf_dir):
 # Files and streams --------------------------------------------------------------------
 
 # Endings given to document names to exercise routing.
-ENDINGS = (".md", ".TXT", ".pdf", ".DocX", ".pptx", ".csv", "", ".tar.gz", "/.md", ".d/notes")
+ENDINGS = (".md", ".TXT", ".pdf", ".DocX", ".pptx", ".csv", "", ".tar.gz", "/.md", ".d/notes", "..md")
 
 
 def _ending(doc_id: Column) -> Column:

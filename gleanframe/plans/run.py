@@ -1,9 +1,9 @@
 """The resumable run: waves of attempts until nothing is pending.
 
-Chunks are independent, so every pending chunk is attempted once per wave.  A chunk
-leaves with its first success or its ``max_failures``-th failure, hence a run has at most
-``max_failures`` waves.  The state is the store's tables alone: a run that was stopped
-continues from them.
+Chunks are independent.  A chunk leaves with its first success or its ``max_failures``-th
+failure in the run.  The state is the store's tables alone: before each wave the pending
+query says what is left, so a stopped run continues from them and documents that were
+added meanwhile join it.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from gleanframe.operators.attempts import attempt
 from gleanframe.operators.chunks import CHUNK_KEY, chunk_texts, slice_chunks, usable
 from gleanframe.operators.completion import Completer
-from gleanframe.operators.pending import pending_chunks
-from gleanframe.operators.store import BROADCAST_ROWS, Store
+from gleanframe.operators.pending import failures_since, pending_chunks
+from gleanframe.operators.store import Store
 
 # Outcomes that count as execution errors, and as warnings.
 ERROR_OUTCOMES = ("request_failed",)
@@ -83,43 +83,54 @@ def run_extraction(
     run_id: str,
     breaker: Breaker | None = None,
     max_waves: int | None = None,
+    slices: int = 1,
 ) -> list[dict]:
     """Register, attempt and store until nothing is pending; one summary per wave.
 
+    A wave is what is committed at once: all pending chunks, or with ``slices`` those of
+    one hash slice, so that a stopped run loses a slice of calls at most and the breaker
+    looks after each slice.
+
     Call it again with the same ``run_id`` to continue a stopped run, with a new one to
     give every unfinished chunk a fresh failure budget.  Only counts per wave come back
     to the driver.
     """
     if not run_tag or not run_id:
         raise ValueError("run_tag and run_id must not be empty")
-    spec = store.spec
     fresh = not store.has_chunks()
     store.register_chunks(documents)
     earlier = wave_counts(store, run_tag, run_id)
     if earlier:
         store.derive_results(run_tag, run_id)
-    first = max((c["wave"] for c in earlier), default=0) + 1
-    last = spec.max_failures if max_waves is None else min(spec.max_failures, first + max_waves - 1)
+    wave = max((c["wave"] for c in earlier), default=0) + 1
     summaries: list[dict] = []
-    for wave in range(first, last + 1):
-        if summaries:
-            requests = _retry_requests(store, documents, run_tag, run_id, summaries[-1])
-        elif fresh:
+    turn = idle = 0
+    # The run ends when every slice in turn has nothing left that could be attempted.
+    while idle < slices and (max_waves is None or len(summaries) < max_waves):
+        if fresh and slices == 1 and not earlier and not summaries and not idle:
             # Everything was registered just now: text comes with the cut, map-only.
-            requests = chunk_texts(documents, spec.chunk_size)
+            requests = chunk_texts(documents, store.spec.chunk_size).withColumn("attempt", F.lit(1))
         else:
-            requests = _pending_requests(store, documents, run_tag, run_id)
-        requests = requests.select("file", "chunknumber", F.lit(wave).alias("attempt"), "chunk_text")
-        attempts = attempt(requests, spec, completer, run_tag, run_id, wave)
+            left = _pending(store, run_tag, run_id)
+            if slices > 1:
+                left = left.where(F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(slices)) == turn % slices)
+            turn += 1
+            if left.isEmpty():
+                idle += 1
+                continue
+            requests = slice_chunks(left, usable(documents), carry=("attempt",))
+        requests = requests.select("file", "chunknumber", "attempt", "chunk_text")
+        attempts = attempt(requests, store.spec, completer, run_tag, run_id, wave)
         store.write_wave(attempts, run_tag, run_id, wave)
         counts = wave_counts(store, run_tag, run_id)
         if not counts or counts[-1]["wave"] != wave:
-            break  # nothing was pending
+            idle += 1  # what is pending has no document any more
+            continue
+        idle = 0
+        wave += 1
         summaries.append(counts[-1])
         if breaker and breaker.trips(counts):
-            raise BreakerTripped(f"run {run_id} stopped after wave {wave}: {counts}")
-        if failures(counts[-1]) == 0:
-            break
+            raise BreakerTripped(f"run {run_id} stopped after wave {wave - 1}: {counts}")
     return summaries
 
 
@@ -128,40 +139,14 @@ def wave_counts(store: Store, run_tag: str, run_id: str) -> list[dict]:
     return [row.asDict() for row in counts.collect()]
 
 
-def failures(counts: dict) -> int:
-    return counts["errors"] + counts["warnings"]
-
+def _pending(store: Store, run_tag: str, run_id: str) -> DataFrame:
+    """Chunks the run has yet to attempt, with the number of the next attempt at each.
 
-def _retry_requests(
-    store: Store, documents: DataFrame, run_tag: str, run_id: str, previous: dict
-) -> DataFrame:
-    """Requests for the chunks that failed in the wave just written.
-
-    Inside a run every pending chunk was attempted in the wave before, so its failures
-    are exactly what is left: one log partition is read instead of the whole state.
+    A chunk's own failures in this run count, so chunks that joined later have their full
+    budget.
     """
-    failed = store.run_log(run_tag, run_id).where(
-        (F.col("wave") == previous["wave"]) & ~F.col("success")
-    )
-    keys = failed.select(*CHUNK_KEY)
-    if failures(previous) <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    pending = store.chunks().join(keys, CHUNK_KEY, "left_semi")
-    return _texts(pending, documents, failures(previous))
-
-
-def _pending_requests(store: Store, documents: DataFrame, run_tag: str, run_id: str) -> DataFrame:
-    """Requests for a run that starts on existing state, or is resumed."""
-    pending = pending_chunks(
-        store.chunks(),
-        store.results(),
-        store.run_log(run_tag, run_id),
-        store.spec.max_failures,
-        run_tag=run_tag,
-    )
-    return _texts(pending, documents, pending.count())
-
-
-def _texts(pending: DataFrame, documents: DataFrame, rows: int) -> DataFrame:
-    """Text of pending chunks; a counted small set is broadcast so documents stay in place."""
-    return slice_chunks(pending, usable(documents), small=rows <= BROADCAST_ROWS)
+    log = store.run_log(run_tag, run_id)
+    pending = pending_chunks(store.chunks(), store.results(), log, store.spec.max_failures, run_tag=run_tag)
+    failed = failures_since(log, None)
+    next_attempt = F.coalesce(F.col("failures"), F.lit(0)).cast("int") + 1
+    return pending.join(failed, CHUNK_KEY, "left").withColumn("attempt", next_attempt).drop("failures")

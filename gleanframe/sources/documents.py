@@ -45,7 +45,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extension(path: Column) -> Column:
     """Last extension, lower-cased; a name made of leading dots and a stem has none."""
     name = F.regexp_replace(base_name(path), r"\A\.+", "")
-    return F.lower(F.regexp_extract(name, r"[^.](\.[^.]*)\z", 1))
+    return F.lower(F.regexp_extract(name, r"(\.[^.]*)\z", 1))
 
 
 def route(path: Column) -> Column:

@@ -87,14 +87,14 @@ class ExtractionSpec:
         """
         for section in ("name", "defaults", "nodes", "prompt_template"):
             if section not in config:
-                raise ValueError(f"Missing required section: {section}.")
+                raise ValueError(f"The configuration has no section '{section}'.")
         nodes = []
         for name, node in config["nodes"].items():
             if not isinstance(node, Mapping) or "description" not in node:
-                raise ValueError(f"Node '{name}' missing required 'description' field.")
+                raise ValueError(f"The node '{name}' has no description.")
             required = node.get("required")
             if "required" in node and not isinstance(required, bool):
-                raise ValueError(f"Invalid 'required' value for node '{name}'.")
+                raise ValueError(f"'required' of node '{name}' must be true or false.")
             nodes.append(
                 NodeSpec(
                     name, node["description"], node.get("format"), node.get("db_column"), required

@@ -7,11 +7,15 @@ repeated after a failure changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleanframe.operators.store import Store
-from gleanframe.sources.documents import as_files, read_text
+from gleanframe.sources.convert import Converter, convert_files
+from gleanframe.sources.documents import as_files, read_text, route
 
 # The columns of Spark's binary file source.
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -19,15 +23,26 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, cont
 MAX_FILES_PER_BATCH = 10_000
 
 
-def folder_stream(spark: SparkSession, folder: str, max_files: int = MAX_FILES_PER_BATCH) -> DataFrame:
-    """Text documents of a folder as a stream; only files not seen before are delivered."""
+def folder_stream(
+    spark: SparkSession,
+    folder: str,
+    max_files: int = MAX_FILES_PER_BATCH,
+    converters: Mapping[str, Converter] | None = None,
+) -> DataFrame:
+    """Documents of a folder as a stream; only files not seen before are delivered.
+
+    Convertible files go through the converters; without one they keep a status that says so.
+    """
     files = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE_SCHEMA)
         .option("maxFilesPerTrigger", max_files)
         .load(folder)
     )
-    return read_text(as_files(files))
+    files = as_files(files)
+    kind = route(F.col("file"))
+    converted = convert_files(files.where(kind == "convertible"), converters or {}).drop("error")
+    return read_text(files.where(kind != "convertible")).unionByName(converted)
 
 
 def ingest(

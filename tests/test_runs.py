@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gleanframe.operators.attempts import attempt
+from gleanframe.operators.attempts import attempt, request_id
 from gleanframe.operators.chunks import chunk_texts
 from gleanframe.operators.completion import FunctionCompleter, RuleCompleter
 from gleanframe.operators.store import Store
@@ -163,3 +163,40 @@ def test_calls_are_not_shuffled_afterwards(spark, spec):
     plan = log._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInPandas") < plan.index("Exchange")
     assert plan.count("Exchange") == 1
+
+
+def test_documents_added_to_a_run_are_attempted_in_full(spark, documents, spec, tmp_path):
+    store = Store(spark, f"{tmp_path}/s", spec)
+    run_extraction(store, documents.where("file <= 's/15'"), RuleCompleter(), "a", "r", max_waves=1)
+    run_extraction(store, documents, RuleCompleter(), "a", "r")
+    whole = Store(spark, f"{tmp_path}/whole", spec)
+    run_extraction(whole, documents, RuleCompleter(), "a", "r")
+    keys = ["file", "chunknumber", "outcome", "id"]
+    assert content(store.log(), keys) == content(whole.log(), keys)
+    assert run_extraction(store, documents, RuleCompleter(), "a", "r") == []
+
+
+def test_slices_end_like_one_and_commit_one_by_one(spark, documents, spec, tmp_path):
+    whole, sliced = Store(spark, f"{tmp_path}/whole", spec), Store(spark, f"{tmp_path}/sliced", spec)
+    run_extraction(whole, documents, RuleCompleter(), "a", "r")
+    first = run_extraction(sliced, documents, RuleCompleter(), "a", "r", slices=4, max_waves=1)
+    done = content(sliced.log(), ["id"])
+    assert 0 < first[0]["attempts"] == len(done) < sliced.chunks().count()
+    run_extraction(sliced, documents, RuleCompleter(), "a", "r", slices=4)
+    keys = ["file", "chunknumber", "outcome", "id"]
+    assert content(sliced.log(), keys) == content(whole.log(), keys)
+    assert len(set(content(sliced.log(), ["id"]))) == sliced.log().count()
+
+
+def test_breaker_stops_after_the_first_slice(spark, documents, spec, tmp_path):
+    store = Store(spark, f"{tmp_path}/s", spec)
+    with pytest.raises(BreakerTripped):
+        run_extraction(store, documents, RuleCompleter(), "a", "r", Breaker(0, 0), slices=4)
+    assert store.log().count() < store.chunks().count()
+
+
+def test_ids_of_different_parts_differ(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ("a\\", "b"), ("a", "\\b"), (None, "c"), ("", "c")]
+    frame = spark.createDataFrame(rows, "tag string, run string")
+    frame = frame.selectExpr("*", "'f' AS file", "1 AS chunknumber", "1 AS attempt")
+    assert frame.select(request_id(F.col("tag"), F.col("run"))).distinct().count() == len(rows)

@@ -147,3 +147,23 @@ def test_folder_stream_reads_each_file_once(spark, tmp_path):
     assert [c for c in second if c[0] == "a.md"] == first
     assert {name for name, _, _ in second} == {"a.md", "new.md"}
     assert run() == second
+
+
+def test_double_dots_are_one_file(spark, tmp_path):
+    (tmp_path / "a..md").write_text("text")
+    rows = folder_documents(spark, str(tmp_path)).collect()
+    assert [(r.content, r.status) for r in rows] == [("text", "ok")]
+
+
+def test_stream_converts_and_keeps_what_it_cannot(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in ("a.md", "b.pdf", "c.docx"):
+        (folder / name).write_bytes(b"bytes of " + name.encode())
+    stream = folder_stream(spark, str(folder), converters={".pdf": lambda data: data.decode() + "!"})
+    query = stream.writeStream.format("memory").queryName("arrived").trigger(availableNow=True)
+    query.option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    found = {r.file.rsplit("/", 1)[1]: (r.content, r.status) for r in spark.table("arrived").collect()}
+    assert found == {
+        "a.md": ("bytes of a.md", "ok"), "b.pdf": ("bytes of b.pdf!", "ok"), "c.docx": (None, "unsupported"),
+    }
