@@ -14,7 +14,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,9 @@ TASK_GROUPS = 64
 MAX_MATCHES = 16
 # Cost of verifying a candidate, in looked-up postings, per shingle of its set.
 VERIFY_COST = 1 / 16
+# Words of 64 bits in a set's parity sketch.
+SKETCH = ("s0", "s1", "s2", "s3")
+SKETCH_SCHEMA = "".join(f", {name} long" for name in SKETCH)
 
 
 @dataclass(frozen=True)
@@ -63,6 +68,16 @@ def set_id(items: np.ndarray) -> int:
     return int(signed(mix(np.array([total + np.uint64(len(items))], np.uint64)))[0])
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """Bit ``b``: whether an odd number of the set's items fall on ``b``.
+
+    An item that only one of two sets has flips one bit, so the sketches of two sets differ
+    in at most as many bits as the sets differ in items.
+    """
+    odd = np.bincount((items >> np.uint64(32) & np.uint64(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_ranks(docs: DataFrame, join: Join) -> np.ndarray:
     """How many documents hold the shingles of each cell, over the whole corpus, as a rank.
 
@@ -81,7 +96,7 @@ def shingle_ranks(docs: DataFrame, join: Join) -> np.ndarray:
                 {"block": pa.array(used, pa.int32()), "counts": pa.array([rows[i].tobytes() for i in used], pa.binary())}
             )
 
-    def add(table: pa.Table) -> pa.Table:
+    def summed(table: pa.Table) -> pa.Table:
         total = np.zeros(CELLS_PER_ROW, np.int64)
         for part in table["counts"]:
             total += np.frombuffer(part.as_py(), np.int64 if len(part.as_py()) == 8 * CELLS_PER_ROW else np.int32)
@@ -90,9 +105,9 @@ def shingle_ranks(docs: DataFrame, join: Join) -> np.ndarray:
     schema = "block int, counts binary"
     parts = docs.select(F.col("text").cast("string")).mapInArrow(count, schema)
     grouped = parts.withColumn("task", F.spark_partition_id() % TASK_GROUPS)
-    once = grouped.groupBy("block", "task").applyInArrow(add, schema)
+    once = grouped.groupBy("block", "task").applyInArrow(summed, schema)
     def ranked(table: pa.Table) -> pa.Table:
-        counts = np.frombuffer(add(table)["counts"][0].as_py(), np.int64)
+        counts = np.frombuffer(summed(table)["counts"][0].as_py(), np.int64)
         ranks = np.minimum(np.log2(counts + 1.0) * 4, 255).astype(np.uint8)
         return pa.table({"block": table["block"].slice(0, 1), "ranks": pa.array([ranks.tobytes()], pa.binary())})
 
@@ -132,11 +147,11 @@ def matches_for(hits: np.ndarray, first: np.ndarray, base: np.ndarray, n: np.nda
 
 
 def prefixes(docs: DataFrame, join: Join, ranks: np.ndarray) -> DataFrame:
-    """``(doc_id, text_key, n, id, tokens)``: each document's set size, name and longest prefix."""
+    """``(doc_id, text_key, n, id, tokens, s0 ...)``: each document's set size, name, longest prefix and sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, names, tokens, upto = [], [], [], [0]
+        sizes, names, tokens, upto, sketches = [], [], [], [0], []
         for items in document_sets(batch.column("text"), join.words):
             n = len(items)
             order = ordered_tokens(items, shared.value)
@@ -146,7 +161,9 @@ def prefixes(docs: DataFrame, join: Join, ranks: np.ndarray) -> DataFrame:
             names.append(set_id(items))
             tokens.append(take)
             upto.append(upto[-1] + len(take))
+            sketches.append(parities(items))
         flat = pa.array(signed(np.concatenate(tokens)))
+        sketch = np.stack(sketches, axis=1)
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
@@ -154,10 +171,11 @@ def prefixes(docs: DataFrame, join: Join, ranks: np.ndarray) -> DataFrame:
                 "n": pa.array(sizes, pa.int64()),
                 "id": pa.array(names, pa.int64()),
                 "tokens": lists(flat, np.array(upto)),
+                **{name: pa.array(sketch[k]) for k, name in enumerate(SKETCH)},
             }
         )
 
-    return map_batches(docs, run, "doc_id long, text_key long, n long, id long, tokens array<bigint>")
+    return map_batches(docs, run, "doc_id long, text_key long, n long, id long, tokens array<bigint>" + SKETCH_SCHEMA)
 
 
 def _buckets(sets: DataFrame, join: Join) -> DataFrame:
@@ -189,12 +207,12 @@ def _buckets(sets: DataFrame, join: Join) -> DataFrame:
         use = hit & may[row] & (level <= ell[row]) & ((n[row] - lost) * join.den >= n[row] * join.num)
         out = {
             "token": flat, "id": batch.column("id").to_numpy()[row], "n": n[row], "lost": lost, "level": level,
-            "ell": ell[row],
+            "ell": ell[row], **{name: batch.column(name).to_numpy()[row] for name in SKETCH},
         }
         return pa.RecordBatch.from_pydict({k: pa.array(v[use]) for k, v in out.items()})
 
-    schema = "token long, id long, n long, lost long, level long, ell long"
-    found = map_batches(sets.where("n > 0").select("id", "n", "tokens"), run, schema)
+    schema = "token long, id long, n long, lost long, level long, ell long" + SKETCH_SCHEMA
+    found = map_batches(sets.where("n > 0").select("id", "n", "tokens", *SKETCH), run, schema)
     return found.distinct().join(shared, "token", "left_semi")
 
 
@@ -234,7 +252,10 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     def possible(a: str, b: str) -> Column:
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
         bound = F.least(n - F.col(f"{a}.lost"), m - F.col(f"{b}.lost"))
-        return bound * (join.num + join.den) >= (n + m) * join.num
+        # Linked sets differ in few items, so their sketches differ in few bits.
+        apart = reduce(add, [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH])
+        near = apart * (join.num + join.den) <= (n + m) * (join.den - join.num)
+        return (bound * (join.num + join.den) >= (n + m) * join.num) & near
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = kept(pairs)
