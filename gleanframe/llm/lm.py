@@ -36,6 +36,9 @@ BROADCAST_GRAMS = 6_000_000
 # Partial counts are handed on when a task holds so many.
 FLUSH = 2_000_000
 WORD, GRAM = 0, 1
+# A gram and a row of a slice together fit a bigint.
+GRAM_BITS = 8 * (DEPTH + 1)
+ROW_BITS = 63 - GRAM_BITS
 
 
 def byte_stream(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +60,13 @@ def byte_stream(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """The gram ending at every byte of the model's text, and where rows begin."""
     stream, first = byte_stream(w)
-    n = len(stream) - DEPTH
-    value = np.zeros(max(n, 0), np.int64)
+    n = max(len(stream) - DEPTH, 0)
+    value = np.zeros(n, np.int64)
     for k in range(DEPTH + 1):
-        value = value << 8 | stream[k : k + n] if n > 0 else value
+        value <<= 8
+        value |= stream[k : k + n]
     # Places whose gram reaches back over the row's head belong to the row before.
-    keep = np.ones(max(n, 0), bool)
+    keep = np.ones(n, bool)
     heads = first[1:-1]
     for k in range(1, DEPTH + 1):
         keep[heads - k] = False
@@ -99,10 +103,13 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 w = words(part.column("text"), lower=True)
                 in_training = trains[w.rows]
                 if in_training.any():
-                    hashes = signed(word_hashes(w))[in_training]
-                    held[WORD].append(_counted(hashes, np.ones(len(hashes))))
+                    held[WORD].append(np.unique(signed(word_hashes(w))[in_training], return_counts=True))
                 value, first = grams(w)
-                held[GRAM].append(_counted(value, np.repeat(trains, np.diff(first)).astype(float)))
+                trained = np.repeat(trains, np.diff(first))
+                others = np.unique(value[~trained])
+                held[GRAM].append((others, np.zeros(len(others), np.int64)))
+                held[GRAM].append(np.unique(value[trained], return_counts=True))
+                size += len(others)
                 size += len(held[GRAM][-1][0]) + (len(held[WORD][-1][0]) if held[WORD] else 0)
                 if size > FLUSH:
                     yield from flush()
@@ -282,7 +289,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (keys, n), (known_grams, log10) = frequent.value, table.value
         task, number = TaskContext.get().partitionId(), 0
-        for part in (p for batch in batches for p in cut(batch)):
+        slices = (p for batch in batches for p in cut(batch))
+        for part in (p.slice(at, 1 << ROW_BITS) for p in slices for at in range(0, p.num_rows, 1 << ROW_BITS)):
             rows = part.num_rows
             w = words(part.column("text"), lower=True)
             hashes = signed(word_hashes(w))
@@ -291,17 +299,21 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             value = np.where(hit, np.log10(n[at] + 1.0) if len(keys) else 0.0, 0.0)
             rare, row = hashes[~hit], w.rows[~hit]
             gram, first = grams(w)
-            distinct, back = np.unique(gram, return_inverse=True)
+            row_of = np.repeat(np.arange(rows), np.diff(first))
             score = np.zeros(rows)
             own = [np.zeros(0, np.int64)] * 2
             upto = np.zeros(rows + 1, np.int64)
             if small:
-                each = log10[np.searchsorted(known_grams, distinct)].astype(np.float64)[back]
-                score = np.add.reduceat(each, first[:-1])
+                # One sort of gram and row together: equal grams are looked up once.
+                both = np.sort(gram << ROW_BITS | row_of)
+                gram, row_of = both >> ROW_BITS, both & ((1 << ROW_BITS) - 1)
+                distinct, times = np.unique(gram, return_counts=True)
+                each = log10[np.searchsorted(known_grams, distinct)].astype(np.float64)
+                score = np.bincount(row_of, weights=np.repeat(each, times), minlength=rows)
             else:
-                pair, times = np.unique(np.repeat(np.arange(rows), np.diff(first)) * len(distinct) + back, return_counts=True)
-                own = [distinct[pair % len(distinct)], times]
-                upto = np.searchsorted(pair // len(distinct), np.arange(rows + 1))
+                pair, times = np.unique(row_of << GRAM_BITS | gram, return_counts=True)
+                own = [pair & ((1 << GRAM_BITS) - 1), times]
+                upto = np.searchsorted(pair >> GRAM_BITS, np.arange(rows + 1))
             out = {
                 "rid": np.int64(task) << 33 | np.arange(number, number + rows),
                 "doc_id": part.column("doc_id"), "held_out": part.column("held_out"),
