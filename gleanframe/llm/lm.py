@@ -136,9 +136,23 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series
 
 
+# Logarithms of the gamma function at n + 1/2 and n + 1 for the counts most nodes have.
+COUNTS = 4096
+_HALF, _WHOLE = (log_gamma(np.arange(COUNTS) + x) for x in (0.5, 1.0))
+
+
+def _log_gamma_at(n: np.ndarray, values: np.ndarray, add: float) -> np.ndarray:
+    out = values[np.minimum(n, COUNTS - 1).astype(np.int64)]
+    large = n >= COUNTS
+    if large.any():
+        out[large] = log_gamma(n[large] + add)
+    return out
+
+
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log probability of n0 zeros and n1 ones under the Krichevsky-Trofimov estimate."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
+    halves = _log_gamma_at(n0, _HALF, 0.5) + _log_gamma_at(n1, _HALF, 0.5)
+    return halves - _log_gamma_at(n0 + n1, _WHOLE, 1.0) - np.log(np.pi)
 
 
 def weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,42 +160,48 @@ def weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.logaddexp(own, below) - np.log(2), 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
 
 
+def _nodes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted values, and each row's place among them; sorted input isn't sorted again."""
+    if (key[1:] >= key[:-1]).all():
+        new = np.concatenate([[True], key[1:] > key[:-1]])
+        return key[new], np.cumsum(new) - 1
+    return np.unique(key, return_inverse=True)
+
+
 class Tree:
-    """Nodes of one bit prefix length over contexts of ``low`` to DEPTH bytes, in numpy.
+    """Nodes of one bit prefix length over contexts of DEPTH to 2 bytes, in numpy.
 
-    ``keys[d]`` names the node of each gram at depth d; equal names are one node.
+    ``key`` names the deepest node of each gram, its context above the bit prefix, and
+    leaving out the farthest byte names the node above.  A level is built from the level
+    below, so only the deepest one looks at every gram.
     """
 
-    def __init__(self, keys: list[np.ndarray], bit: np.ndarray, n: np.ndarray) -> None:
-        self.at, self.estimate, self.seen, self.share = [], [], [], []
-        self.log = below = None
-        inner: np.ndarray | None = None
-        for key in keys:  # deepest first
-            names, first, at = np.unique(key, return_index=True, return_inverse=True)
-            n0 = np.bincount(at, weights=n * (bit == 0), minlength=len(names))
-            n1 = np.bincount(at, weights=n * (bit == 1), minlength=len(names))
-            own = log_kt(n0, n1)
-            if inner is None:
-                log, share = own, np.ones(len(names))
-            else:
-                below = np.bincount(at[inner], weights=self.log, minlength=len(names))
-                log, share = weigh(own, below)
-            self.at.append(at)
-            self.estimate.append((n1 + 0.5) / (n0 + n1 + 1))
-            self.seen.append(n0 + n1 > 0)
-            self.share.append(share)
-            self.log, inner = log, first
-            self.names, self.n0, self.n1 = names, n0, n1
-
-    def ones(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per gram: the mixed probability of a one over the seen depths, and if any was seen."""
-        p = np.full(len(self.at[0]), 0.5)
-        known = np.zeros(len(p), bool)
-        for at, estimate, seen, share in zip(self.at, self.estimate, self.seen, self.share):
-            own, is_seen = estimate[at], seen[at]
-            mix = np.where(known, share[at] * own + (1 - share[at]) * p, own)
-            p, known = np.where(is_seen, mix, p), known | is_seen
-        return p, known
+    def __init__(self, key: np.ndarray, bit: np.ndarray, n: np.ndarray) -> None:
+        self.levels = []
+        names, at = _nodes(key)
+        self.gram = at
+        n0 = np.bincount(at, weights=n * (bit == 0), minlength=len(names))
+        n1 = np.bincount(at, weights=n * (bit == 1), minlength=len(names))
+        log, share = log_kt(n0, n1), np.ones(len(names))
+        at = np.arange(len(names))
+        self.levels.append((at, n0, n1, share))
+        for d in range(DEPTH - 1, 1, -1):
+            names, at = _nodes(names & ((1 << 8 * (d - 1)) - 1))
+            n0, n1, below = (np.bincount(at, weights=x, minlength=len(names)) for x in (n0, n1, log))
+            log, share = weigh(log_kt(n0, n1), below)
+            self.levels.append((at, n0, n1, share))
+        self.names, self.n0, self.n1, self.log = names, n0, n1, log
+
+    def ones(self) -> np.ndarray:
+        """Per gram: the mixed probability of a one over the depths that training has seen."""
+        place = np.arange(len(self.levels[0][0]))
+        p, known = np.full(len(place), 0.5), np.zeros(len(place), bool)
+        for at, n0, n1, share in self.levels:
+            place = at[place]
+            seen, own, part = (n0 + n1 > 0)[place], ((n1 + 0.5) / (n0 + n1 + 1))[place], share[place]
+            mix = np.where(known, part * own + (1 - part) * p, own)
+            p, known = np.where(seen, mix, p), known | seen
+        return p[self.gram]
 
 
 def _bits(key: np.ndarray, depth_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,22 +211,24 @@ def _bits(key: np.ndarray, depth_bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _trees(key: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Tree]]:
-    """Trees of a group with equal two nearest context bytes, from DEPTH up to depth 2."""
+    """Trees of grams in order with equal two nearest context bytes, from DEPTH up to depth 2."""
     for j in range(8):
         prefix, bit = _bits(key, j)
-        names = [((key >> 24) & ((1 << 8 * (d - 2)) - 1)) << 8 | prefix for d in range(DEPTH, 1, -1)]
-        yield prefix, bit, Tree(names, bit, n)
+        yield prefix, bit, Tree((key >> 24) << 8 | prefix, bit, n)
+
+
+def _in_order(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    key, n = group["key"].to_numpy(), group["n"].to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
 
 
 def _lower(group: pd.DataFrame) -> pd.DataFrame:
     """Depth-2 nodes of a group: counts and weighted log probability."""
-    key, n = group["key"].to_numpy(), group["n"].to_numpy()
-    rows = []
-    for _, _, tree in _trees(key, n):
-        rows.append(pd.DataFrame({"prefix": tree.names, "n0": tree.n0, "n1": tree.n1, "log": tree.log}))
-    out = pd.concat(rows)
-    out.insert(0, "near", (key[0] >> 8) & 0xFFFF)
-    return out
+    key, n = _in_order(group)
+    trees = [tree for _, _, tree in _trees(key, n)]
+    out = {c: np.concatenate([getattr(tree, a) for tree in trees]) for c, a in (("prefix", "names"), ("n0", "n0"), ("n1", "n1"), ("log", "log"))}
+    return pd.DataFrame({"near": (key[0] >> 8) & 0xFFFF, **out})
 
 
 def _upper(group: pd.DataFrame) -> pd.DataFrame:
@@ -228,13 +250,13 @@ def _upper(group: pd.DataFrame) -> pd.DataFrame:
 
 def _score(group: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
     """Log10 probability of the byte of every gram of a group."""
-    key, n = group["key"].to_numpy(), group["n"].to_numpy()
+    key, n = _in_order(group)
     scale, shift = np.zeros(256), np.full(256, 0.5)
     prefix = above["prefix"].to_numpy()
     scale[prefix], shift[prefix] = above["scale"].to_numpy(), above["shift"].to_numpy()
     total = np.zeros(len(key))
     for prefix, bit, tree in _trees(key, n):
-        p = scale[prefix] * tree.ones()[0] + shift[prefix]
+        p = scale[prefix] * tree.ones() + shift[prefix]
         total += np.log10(np.where(bit == 1, p, 1 - p))
     return pd.DataFrame({"key": key, "log10": total})
 
