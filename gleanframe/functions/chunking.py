@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleanframe.functions.lambdas import bind
-from gleanframe.functions.text import SPACE, SPACE_CLASS
+from gleanframe.functions.text import SPACE
 
 # What counts as a break, strongest first.
 PARAGRAPH_BREAK = rf"\n{SPACE}*\n"
