@@ -1,30 +1,33 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of all benchmark items are counted over the whole corpus; the rarer half of an
-item's n-grams are its seeds, a choice that doesn't depend on the size of the corpus or on
-how often the item leaked.  Passages of documents around seeds are joined to the items and
-aligned word by word, which scores copies with words changed, added or left out.
+Every n-gram of an item is a seed, however often the corpus has it: edits break n-grams, so
+none may be given up for another.  Passages of documents around seeds are joined to the
+items and aligned word by word, which scores copies with words changed, added or left out.
+One seed makes a candidate; candidates with too few of the item's words to reach the limit
+are left out before the alignment, which can't lose a leak.
 
-Documents are scanned twice in place; only passages are shuffled.  A bitmap of fixed size
+A leak without any run of ``NGRAM`` words of its item isn't found.  ``x`` words changed or
+left out of ``n`` leave such a run if ``3 * x < n - 2``; beyond, evenly spread edits, or
+words put in after every second word, may break all runs of a leak near the limit.
+
+Documents are scanned once in place; only passages are shuffled.  A bitmap of fixed size
 tells a task which n-grams may matter, and an exact join follows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.llm.tables import kept, key_filter, map_batches, maybe
-from gleanframe.llm.words import Words, lists, shingles, signed, word_hashes, words
+from gleanframe.llm.words import Words, lists, mix, shingles, signed, word_hashes, words
 
 NGRAM = 3
-# Share of an item's distinct n-grams, the rarest, that are seeds.
-SEED_SHARE = 0.5
-# Different seeds of an item that a passage needs; an item with fewer seeds needs them all.
-MIN_SEEDS = 2
 # Smith-Waterman scores, and the least share of an item's perfect score that is a leak.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK_SCORE = 0.5
@@ -49,7 +52,7 @@ def _ngrams(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_grams(items: DataFrame) -> DataFrame:
-    """``(item_id, n_words, gram)``: the distinct n-grams of each item."""
+    """``(item_id, gram)``: the distinct n-grams of each item."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = _plain(batch.column("text"))
@@ -58,43 +61,11 @@ def item_grams(items: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pydict(
             {
                 "item_id": batch.column("item_id").take(pa.array(rows)),
-                "n_words": pa.array(w.counts[rows]),
                 "gram": pa.array(grams),
             }
         )
 
-    return map_batches(items, run, "item_id long, n_words long, gram long").distinct()
-
-
-def gram_counts(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """``(gram, times)``: occurrences in all documents of the n-grams given."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(key_filter(F.col("gram"), grams))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _ngrams(_plain(batch.column("text")))[0]
-        distinct, times = np.unique(found[maybe(bitmap.value, found)], return_counts=True)
-        return pa.RecordBatch.from_pydict({"gram": pa.array(distinct), "times": pa.array(times)})
-
-    rows = map_batches(docs.select("text"), run, "gram long, times long")
-    return rows.groupBy("gram").agg(F.sum("times").alias("times"))
-
-
-def seeds(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(item_id, gram, needed)``: the rarer n-grams of each item.
-
-    One item's n-grams meet in a window.
-    """
-    grams = kept(item_grams(items))
-    counts = gram_counts(docs, grams.select("gram").distinct())
-    counted = grams.join(counts, "gram", "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    per_item = Window.partitionBy("item_id")
-    n = F.count("*").over(per_item)
-    place = F.row_number().over(per_item.orderBy("times", "gram"))
-    chosen = counted.withColumn("n", n).withColumn("place", place).where(
-        F.col("place") <= F.ceil(F.col("n") * SEED_SHARE)
-    )
-    needed = F.least(F.lit(MIN_SEEDS), F.ceil(F.col("n") * SEED_SHARE)).cast("long")
-    return chosen.select("item_id", "gram", needed.alias("needed"))
+    return map_batches(items, run, "item_id long, gram long").distinct()
 
 
 def passages(docs: DataFrame, grams: DataFrame, reach: int) -> DataFrame:
@@ -163,7 +134,19 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return top, first, last
 
 
-def _align_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _shared_words(item: np.ndarray, item_rows: np.ndarray, passage: np.ndarray, passage_rows: np.ndarray) -> np.ndarray:
+    """Whether each word of an item occurs in the passage of its row."""
+    salt = np.uint64(0x9E3779B97F4A7C15)
+    own = [mix(h ^ mix((r + 1).astype(np.uint64) * salt)) for h, r in ((item, item_rows), (passage, passage_rows))]
+    return np.isin(*own)
+
+
+def _align_batch(batch: pa.RecordBatch, least: float) -> pa.RecordBatch:
+    """Scores of the rows that can reach ``least``: every word of an alignment's matches is in both."""
+    p, q = _plain(batch.column("passage")), _plain(batch.column("item"))
+    shared = _shared_words(word_hashes(q), q.rows, word_hashes(p), p.rows)
+    most = np.bincount(q.rows, weights=shared, minlength=batch.num_rows)
+    batch = batch.take(pa.array(np.flatnonzero(most >= least * q.counts)))
     p, q = _plain(batch.column("passage")), _plain(batch.column("item"))
     of_p, of_q = word_hashes(p), word_hashes(q)
     scores, bounds = [], []
@@ -200,21 +183,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK_SCORE) -> D
     items = kept(
         benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     )
-    chosen = kept(seeds(items, docs))
+    seeds = kept(item_grams(items))
     sizes = items.agg(F.max(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0]
-    found = kept(passages(docs, chosen.select("gram").distinct(), reach=sizes or 1).distinct())
+    # An alignment of the least score spans twice its item's words at most.
+    reach = math.ceil(2 * (1 - min(least, 1)) * sizes) + sizes if sizes else 1
+    found = kept(passages(docs, seeds.select("gram").distinct(), reach).distinct())
     near = found.select("doc_id", "text_key", "start", F.explode(F.array_distinct("grams")).alias("gram"))
-    matched = near.join(chosen, "gram").groupBy("doc_id", "text_key", "start", "item_id").agg(
-        F.count("*").alias("n"), F.max("needed").alias("needed")
-    )
-    pairs = matched.where("n >= needed").drop("n", "needed")
+    pairs = near.join(seeds, "gram").select("doc_id", "text_key", "start", "item_id").distinct()
     same = [found[c].eqNullSafe(F.col(f"p_{c}")) for c in ("doc_id", "text_key", "start")]
     named = pairs.select("item_id", *[F.col(c).alias(f"p_{c}") for c in ("doc_id", "text_key", "start")])
     texts = found.drop("grams").join(named, same[0] & same[1] & same[2]).select("doc_id", "text_key", "start", "passage", "item_id")
     right = items.select(F.col("item_id").alias("i"), F.col("text").alias("item"))
     texts = texts.join(right, F.col("item_id").eqNullSafe(F.col("i"))).drop("i")
     scored = map_batches(
-        texts, _align_batch, "doc_id long, text_key long, item_id long, score double, start long, end long"
+        texts, lambda batch: _align_batch(batch, least), "doc_id long, text_key long, item_id long, score double, start long, end long"
     ).where(F.col("score") >= least)
     best = F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start"), -F.col("end"))).alias("best")
     return scored.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", "best.*")

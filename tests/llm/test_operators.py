@@ -223,6 +223,37 @@ def test_leaks(spark):
     assert docs[0][1][exact.start : exact.end] == item and exact.score == 1
 
 
+def brute_alignment(item, text):
+    """Share of the item's perfect Smith-Waterman score, cell by cell."""
+    best, row = 0, [0] * (len(text) + 1)
+    for word in item:
+        new = [0]
+        for j, other in enumerate(text):
+            new.append(max(0, row[j] + (2 if word == other else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, *new)
+    return best / (2 * len(item))
+
+
+def test_leaks_with_random_edits(spark):
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    items = {i: fresh(int(rng.integers(15, 61))) for i in range(60)}
+    docs = {1000 + i: [*fresh(30), *item, *fresh(30)] for i, item in items.items() if i % 2}
+    for i, item in items.items():
+        for k, rate in enumerate((0.1, 0.15, 0.2, 0.25)):
+            kinds = rng.random(len(item)) / rate
+            edited = [x for w, u in zip(item, kinds) for x in ([w] if u > 1 else fresh(1) if u > 0.4 else [w, *fresh(1)] if u > 0.2 else [])]
+            docs[10 * i + k] = [*fresh(40), *edited, *fresh(40)]
+        # The same edit in many documents: every fifth word.
+        edited = ["zz" if n % 5 == 3 else w for n, w in enumerate(item)]
+        docs |= {5000 + 10 * i + k: [*fresh(20), *edited, *fresh(20)] for k in range(2)}
+    table_ = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], f"{name} long, text string")
+    found = decontaminate.leaks(table_(docs, "doc_id"), table_(items, "item_id")).collect()
+    of = lambda d: d - 1000 if 1000 <= d < 2000 else (d - 5000 if d >= 5000 else d) // 10
+    expected = {(d, of(d)): score for d, text in docs.items() if (score := brute_alignment(items[of(d)], text)) >= 0.5}
+    assert {(r.doc_id, r.item_id): r.score for r in found} == pytest.approx(expected)
+
+
 def test_mix_meets_targets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = mixing.mixed(docs).collect()
