@@ -3,9 +3,10 @@
 Every page becomes tokens: its element paths, and the texts at them.  Tokens of one host
 with the same occurrence vector (how often each page has them) form an equivalence class.
 A class is valid if enough pages share it, it holds elements and these nest in one class.
-Valid classes make up the host's template: their texts are the template's own, everything
-else fills a slot.  Slots in menus, notices, forms and the like, told by element and class
-names, hold no main text; inside an article all other slots do.
+Valid classes make up the host's template: their texts are the template's own, inside an
+article too, and everything else fills a slot.  Slots in menus, notices, forms and the like,
+told by element and class names, hold no main text; of the others, those inside an article
+or main element come first, and the rest is the text only of pages without them.
 
 Occurrence vectors are compared by an exclusive-or over pages of a hash of (page, count),
 an aggregate that is combined before the shuffle, so a host with a third of all pages is
@@ -168,33 +169,30 @@ def _key(*parts: str) -> int:
 
 
 TOKEN = pa.struct([("token", pa.int64()), ("parent", pa.int64()), ("n", pa.int32()), ("element", pa.bool_())])
-BLOCK_TYPE = pa.struct([("token", pa.int64()), ("text", pa.string())])
+BLOCK_TYPE = pa.struct([("token", pa.int64()), ("text", pa.string()), ("main", pa.bool_())])
 
 
 def _parse_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    keys, texts, blocks, tokens = [], [], [], []
+    keys, blocks, tokens = [], [], []
     for page in batch.column("html").to_pylist():
         found, counts, parents = parse(page or "")
         keys.append(_key(page or ""))
-        inside = [b for b in found if b.main]
-        # Inside an article every slot is main text; elsewhere the template decides.
-        texts.append(" ".join(b.text for b in inside) if inside or not found else None)
-        rest = [] if inside else [(_key(b.path, b.text), b.text, _key(b.path)) for b in found]
-        blocks.append([{"token": k, "text": t} for k, t, _ in rest])
+        texts = [(_key(b.path, b.text), b.text, _key(b.path), b.main) for b in found]
+        blocks.append([{"token": k, "text": t, "main": main} for k, t, _, main in texts])
         row = [{"token": _key(p), "parent": _key(parents[p]), "n": n, "element": True} for p, n in counts.items()]
         own: dict[tuple[int, int], int] = {}
-        for k, _, parent in rest:
+        for k, _, parent, _ in texts:
             own[k, parent] = own.get((k, parent), 0) + 1
         row += [{"token": k, "parent": parent, "n": n, "element": False} for (k, parent), n in own.items()]
         tokens.append(row)
     columns = {name: batch.column(name) for name in ("page_id", "url", "host")}
-    columns |= {"key": pa.array(keys, pa.int64()), "text": pa.array(texts, pa.string())}
+    columns |= {"key": pa.array(keys, pa.int64())}
     columns |= {"blocks": pa.array(blocks, pa.list_(BLOCK_TYPE)), "tokens": pa.array(tokens, pa.list_(TOKEN))}
     return pa.RecordBatch.from_pydict(columns)
 
 
 PARSED = (
-    "page_id long, url string, host string, key long, text string, blocks array<struct<token: bigint, text: string>>, "
+    "page_id long, url string, host string, key long, blocks array<struct<token: bigint, text: string, main: boolean>>, "
     "tokens array<struct<token: bigint, parent: bigint, n: int, element: boolean>>"
 )
 
@@ -226,29 +224,45 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     classes = nested.groupBy("host", "class").agg(
         F.count("*").alias("size"), F.max("element").alias("has_element"),
-        F.min("outer").alias("first"), F.max("outer").alias("last"),
+        F.min(F.when(F.col("element"), F.col("outer"))).alias("first"),
+        F.max(F.when(F.col("element"), F.col("outer"))).alias("last"),
     )
     valid = classes.where("size > 1 and has_element and (first is null or first = last)")
     return tokens.join(valid.select("host", "class"), ["host", "class"], "left_semi")
 
 
+def template_texts(pages: DataFrame) -> DataFrame:
+    """``(host, key, gone)``: per page the tokens of its texts that are the template's own.
+
+    Pages that are copies of each other have all their texts in common; a text is a
+    template's own only if some page with it has other text besides.
+    """
+    own = templates(pages).where("not element").select("host", "token").distinct().withColumn("own", F.lit(True))
+    tokens = F.array_distinct(F.transform("blocks", lambda b: b["token"]))
+    texts = pages.select("host", "key", F.explode(tokens).alias("token")).join(own, ["host", "token"], "left")
+    per_page = texts.groupBy("host", "key").agg(
+        F.collect_set(F.when(F.col("own"), F.col("token"))).alias("gone"), F.max(F.col("own").isNull()).alias("filled")
+    )
+    per_page = kept(per_page.where(F.size("gone") > 0))
+    filled = per_page.where("filled").select("host", "key", "gone")
+    sure = filled.select("host", F.explode("gone").alias("token")).distinct()
+    whole = per_page.where("not filled").select("host", "key", F.explode("gone").alias("token"))
+    whole = whole.join(sure, ["host", "token"], "left_semi").groupBy("host", "key")
+    return filled.unionByName(whole.agg(F.collect_set("token").alias("gone")))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` per page.
 
     A null or empty page has an empty text; repeated rows and null ids give a row each;
-    extra columns are ignored; an empty table gives no rows.  On pages without an article
-    the slots of the body are the text, less the template's own texts, which takes a host
-    with at least ``MIN_SUPPORT`` different pages.
+    extra columns are ignored; an empty table gives no rows.  The text is that of the slots
+    inside an article, or of all slots without one, less the template's own texts, which
+    takes a host with at least ``MIN_SUPPORT`` different pages.
     """
     all_ = kept(parsed(pages))
-    open_ = all_.where("text is null")
-    own = templates(all_).where("not element").select("host", "token").distinct()
-    blocks = open_.select("host", "key", F.posexplode("blocks").alias("pos", "b")).select(
-        "host", "key", "pos", "b.token", "b.text"
-    )
-    slots = blocks.distinct().join(own, ["host", "token"], "left_anti")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ")
-    filled = slots.groupBy("host", "key").agg(joined.alias("slots"))
-    done = all_.where("text is not null").select("page_id", "url", "text")
-    rest = open_.join(filled, ["host", "key"], "left").select("page_id", "url", F.coalesce("slots", F.lit("")).alias("text"))
-    return done.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+    rows = all_.drop("tokens").join(template_texts(all_), ["host", "key"], "left")
+    slots = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("gone", b["token"]), F.lit(False)))
+    rows = rows.select("page_id", "url", slots.alias("slots")).withColumn("inside", F.filter("slots", lambda b: b["main"]))
+    best = F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("slots"))
+    text = F.array_join(F.transform(best, lambda b: b["text"]), " ")
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -133,6 +133,23 @@ def test_template_texts_go(spark):
     assert {r.page_id: r.text for r in found.collect()} == {**{i: f"story {i}" for i in range(4)}, 9: ""}
 
 
+def test_template_texts_inside_articles_go(spark):
+    page = (
+        "<html><body><p>Top</p><article><h1>Title {0}</h1><p>Story {0}</p><p>Share this</p><div>Advert: buy</div>"
+        "<ul><li>Follow us</li></ul></article></body></html>"
+    )
+    rows = [(i, "http://h.example/a", page.format(i)) for i in range(5)]
+    rows.append((5, "http://h.example/a", re.sub("<h1>.*Story 0</p>", "", page.format(0))))
+    # Copies of one article say nothing about a template, and neither do two pages.
+    copy = "<html><head><title>{}</title></head><body><article><h1>One</h1><p>Same</p></article></body></html>"
+    rows += [(10 + i, "http://copies.example/", copy.format(i)) for i in range(4)]
+    rows += [(20 + i, "http://few.example/", page.format(i)) for i in range(2)]
+    found = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    expected = {i: f"Title {i} Story {i}" for i in range(5)} | {5: ""} | {10 + i: "One Same" for i in range(4)}
+    expected |= {20 + i: f"Title {i} Story {i} Share this Advert: buy Follow us" for i in range(2)}
+    assert {r.page_id: r.text for r in found.collect()} == expected
+
+
 def test_toxicity_on_labels(spark):
     sf_dir = "/root/testdata/sf0.01"
     found = rows_of(QUERIES["op7_toxicity"](spark, sf_dir))
