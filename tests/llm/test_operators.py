@@ -240,6 +240,27 @@ def test_leaks(spark):
     assert docs[0][1][exact.start : exact.end] == item and exact.score == 1
 
 
+def passages_found(spark, docs):
+    rows = repeats.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = collections.defaultdict(list)
+    for r in rows:
+        found[r.doc_id].append((r.start, r.end))
+    return found
+
+
+def test_repeats_just_over_fifty_words(spark):
+    rng = np.random.default_rng(17)
+    fresh = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
+    passages = [fresh(51) for _ in range(300)]
+    docs = [(2 * i + k, f"{fresh(60)} {p} {fresh(60)}") for i, p in enumerate(passages) for k in range(2)]
+    found = passages_found(spark, docs)
+    spans = {d: (at, at + len(passages[d // 2])) for d, text in docs for at in [text.index(passages[d // 2])]}
+    assert len(found) >= 0.99 * len(docs) and all(len(x) == 1 for x in found.values())
+    # An outermost paragraph linked by similarity only may differ by a few words (of at most 10 letters).
+    assert np.mean([found[d] == [spans[d]] for d in found]) > 0.9
+    assert all(abs(x - y) < 66 for d in found for x, y in zip(found[d][0], spans[d]))
+
+
 def brute_alignment(item, text):
     """Share of the item's perfect Smith-Waterman score, cell by cell."""
     best, row = 0, [0] * (len(text) + 1)
