@@ -261,6 +261,20 @@ def test_repeats_just_over_fifty_words(spark):
     assert all(abs(x - y) < 66 for d in found for x, y in zip(found[d][0], spans[d]))
 
 
+def test_near_repeats_of_whole_passages(spark):
+    rng = np.random.default_rng(19)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    docs = []
+    for i in range(300):
+        passage = fresh(int(rng.integers(60, 101)))
+        edited = list(passage)
+        for at in rng.choice(len(passage), 1 + (len(passage) >= 95) * (i % 2), replace=False):
+            edited[at] = "zz"
+        docs += [(2 * i + k, " ".join([*fresh(60), *p, *fresh(60)])) for k, p in enumerate((passage, edited))]
+    found = passages_found(spark, docs)
+    assert len(found) >= 0.99 * len(docs)
+
+
 def brute_alignment(item, text):
     """Share of the item's perfect Smith-Waterman score, cell by cell."""
     best, row = 0, [0] * (len(text) + 1)
