@@ -303,9 +303,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     if small:
         got = scores.toArrow()
         order = np.argsort(got["key"].to_numpy())
-        table = (got["key"].to_numpy()[order], got["log10"].to_numpy()[order].astype(np.float32))
+        table = (got["key"].to_numpy()[order], got["log10"].to_numpy()[order])
     else:
-        table = (np.zeros(0, np.int64), np.zeros(0, np.float32))
+        table = (np.zeros(0, np.int64), np.zeros(0))
     table = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +330,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 both = np.sort(gram << ROW_BITS | row_of)
                 gram, row_of = both >> ROW_BITS, both & ((1 << ROW_BITS) - 1)
                 distinct, times = np.unique(gram, return_counts=True)
-                each = log10[np.searchsorted(known_grams, distinct)].astype(np.float64)
+                each = log10[np.searchsorted(known_grams, distinct)]
                 score = np.bincount(row_of, weights=np.repeat(each, times), minlength=rows)
             else:
                 pair, times = np.unique(row_of << GRAM_BITS | gram, return_counts=True)

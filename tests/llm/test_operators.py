@@ -175,6 +175,14 @@ def test_unigram_base_and_model(spark, sf_dir, texts):
         assert row.held_out == (zlib.crc32(str(i).encode()) % 7 == 2) and row.score < 0
 
 
+def test_scores_alike_broadcast_or_joined(spark, sf_dir, monkeypatch):
+    docs = table(spark, sf_dir, "documents").limit(40).localCheckpoint()
+    small = {i: r.score for i, r in rows_of(lm.lm_scores(docs)).items()}
+    monkeypatch.setattr(lm, "BROADCAST_GRAMS", 0)
+    joined = {i: r.score for i, r in rows_of(lm.lm_scores(docs)).items()}
+    assert small == pytest.approx(joined, rel=1e-12)
+
+
 def test_context_tree_sums_to_one(spark):
     data = np.random.default_rng(5).integers(97, 101, 400).astype(np.uint8)
     stream = np.concatenate([np.full(lm.DEPTH, 10, np.uint8), data])
