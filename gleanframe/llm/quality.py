@@ -20,8 +20,10 @@ from gleanframe.llm.words import Words, utf8, word_hashes, words
 # The base rules of the contract.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEATED_PCT = 20, 8, 30
+# Distinct words are counted in windows of so many words; a shorter text is one window.
+VARIETY_WINDOW = 2000
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-MORE = "n_lines long, n_upper long, n_letters long, n_digits long, n_types long"
+MORE = "n_lines long, n_upper long, n_letters long, n_digits long, n_types long, n_type_words long"
 
 _CONTINUATION = (np.arange(256) & 0xC0) == 0x80
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
@@ -57,6 +59,16 @@ def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(edges) > 0).sum())
 
 
+def distinct_words(ids: np.ndarray, window: int = VARIETY_WINDOW) -> tuple[int, int]:
+    """Distinct words summed over consecutive windows, and the words of these windows.
+
+    All windows have one size: the last one ends with the text and may overlap another.
+    """
+    n = len(ids)
+    starts = [*range(0, n - window, window), n - window] if n > window else [0]
+    return sum(len(np.unique(ids[a : a + window])) for a in starts), len(starts) * min(n, window)
+
+
 def _duplicate_lines(text: bytes) -> tuple[int, int]:
     lines = [line for line in text.split(b"\n") if line.split()]
     return len(lines), len(lines) - len(set(lines))
@@ -72,11 +84,11 @@ def _stats(batch: pa.RecordBatch) -> pa.RecordBatch:
     np.add.at(in_word, w.ends, -1)
     in_word = np.cumsum(in_word[:-1]) > 0
     hashes = word_hashes(w)
-    repeats, types = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    repeats, types, type_words = (np.zeros(rows, np.int64) for _ in range(3))
     lines, same = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
     for r in range(rows):
-        distinct, ids = np.unique(hashes[w.first[r] : w.first[r + 1]], return_inverse=True)
-        types[r], repeats[r] = len(distinct), repeated_words(ids)
+        ids = np.unique(hashes[w.first[r] : w.first[r + 1]], return_inverse=True)[1]
+        (types[r], type_words[r]), repeats[r] = distinct_words(ids), repeated_words(ids)
         lines[r], same[r] = _duplicate_lines(data[offsets[r] : offsets[r + 1]].tobytes())
     columns = {
         "doc_id": batch.column("doc_id"),
@@ -90,6 +102,7 @@ def _stats(batch: pa.RecordBatch) -> pa.RecordBatch:
         "n_letters": _per_row(_LETTER[data], offsets),
         "n_digits": _per_row(_DIGIT[data], offsets),
         "n_types": types,
+        "n_type_words": type_words,
     }
     return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
@@ -120,7 +133,7 @@ def rules() -> dict[str, Column]:
         "lines": drop(share("n_dup_lines", "n_lines") > 0.3),
         "word_length": drop((mean < 2.5) | (mean > 12)),
         "capitals": drop(capitals > 0.4),
-        "variety": drop((share("n_types", "n_words") < 0.15) & (words_ < 2000)),
+        "variety": drop(share("n_types", "n_type_words") < 0.15),
     }
 
 

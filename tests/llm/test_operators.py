@@ -71,6 +71,15 @@ def test_quality_agrees_with_labels(spark, sf_dir):
     assert np.mean([r.kept for r in clean if not r.base_failed]) > 0.95
 
 
+def test_variety_at_any_length(spark):
+    rng = np.random.default_rng(23)
+    poor, rich = rng.integers(0, 100, 6500), rng.integers(0, 10**6, 6500)
+    texts = [" ".join(f"w{x}" for x in ids[:n]) for ids in (poor, rich) for n in (1999, 2000, 2001, 6500)]
+    found = rows_of(quality.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    place = list(quality.rules()).index("variety")
+    assert [found[i].votes.split(",")[place] for i in range(8)] == ["0"] * 4 + ["-1"] * 4
+
+
 def test_tokens_round_trip(spark, sf_dir, texts):
     encode, start = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode, 0
     found = rows_of(QUERIES["op3_token_files"](spark, sf_dir))
