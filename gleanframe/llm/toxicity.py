@@ -7,6 +7,7 @@ number of slots, so weights have a fixed size and scoring is map-only.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +22,14 @@ from gleanframe.llm.words import Words, mix, word_hashes, words
 SLOTS = 1 << 18
 # Bytes of a word that stand for its stem.
 STEMS = (4, 5, 6)
-# Labelled rows the fit uses at most, per grade; they are taken in hash order.
-SAMPLE_PER_GRADE = 2000
-# Severity from which a document is toxic.
+# Labelled rows the fit uses at most, clean and toxic; they are taken in hash order.
+SAMPLE = (8000, 2000)
+# A feature counts only if so many labelled rows hold it.
+MIN_ROWS = 8
+# Numbers of features that are tried; the labels' folds choose one.
+SIZES = (100, 200, 500, 1000)
+FOLDS = 5
+# Probability from which a document is toxic where labels are too few for folds.
 TOXIC_FROM = 0.5
 # Punctuation cut off the ends of words.
 _TRIM = np.isin(np.arange(256), list(b".,;:!?\"'()[]{}*$%&#|<>-_"))
@@ -31,11 +37,13 @@ _TRIM = np.isin(np.arange(256), list(b".,;:!?\"'()[]{}*$%&#|<>-_"))
 
 def _trimmed(w: Words) -> Words:
     """Words without punctuation at their ends; a word of punctuation alone stays whole."""
-    starts, ends = w.starts.copy(), w.ends.copy()
-    for _ in range(6):
-        starts += (starts < ends - 1) & _TRIM[w.data[np.minimum(starts, len(w.data) - 1)]]
-        ends -= (starts < ends - 1) & _TRIM[w.data[np.maximum(ends - 1, 0)]]
-    return w._replace(starts=starts, ends=ends)
+    inner = np.flatnonzero(~_TRIM[w.data])
+    if not len(inner):
+        return w
+    first = inner[np.minimum(np.searchsorted(inner, w.starts), len(inner) - 1)]
+    last = inner[np.maximum(np.searchsorted(inner, w.ends) - 1, 0)]
+    some = (first >= w.starts) & (first < w.ends)
+    return w._replace(starts=np.where(some, first, w.starts), ends=np.where(some, last + 1, w.ends))
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +67,11 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Ordinal:
-    """Weights of a fixed size and the ordered thresholds."""
+    """Weights of a fixed size, the ordered thresholds, and the probability from which a text is toxic."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    limit: float = TOXIC_FROM
 
 
 def _sums(weights: np.ndarray, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -125,8 +134,8 @@ def _feature_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"grade": batch.column("grade"), "slots": pa.array(rows, pa.binary())})
 
 
-def labelled_sample(labels: DataFrame, per_grade: int = SAMPLE_PER_GRADE) -> DataFrame:
-    """``(doc_id, grade)``: up to ``per_grade`` labelled documents of each toxic label.
+def labelled_sample(labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
+    """``(doc_id, grade)``: up to ``sample[g]`` labelled documents of each toxic label ``g``.
 
     A document labelled more than once has its highest label; null labels are left out.
     """
@@ -134,32 +143,112 @@ def labelled_sample(labels: DataFrame, per_grade: int = SAMPLE_PER_GRADE) -> Dat
         F.max((F.col("toxic") > 0).cast("int")).alias("grade")
     )
     order = F.xxhash64("doc_id")
-    parts = [one.where(F.col("grade") == g).orderBy(order, "doc_id").limit(per_grade) for g in (0, 1)]
+    parts = [one.where(F.col("grade") == g).orderBy(order, "doc_id").limit(sample[g]) for g in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_grade: int = SAMPLE_PER_GRADE) -> Ordinal:
+def ranked(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, min_rows: int = MIN_ROWS) -> np.ndarray:
+    """Features that enough rows hold, the most telling first.
+
+    The order is by the log odds between toxic and clean rows times the logarithm of the
+    toxic rows with the feature, so one that a few rows share by chance comes late.
+    """
+    row = np.repeat(np.arange(len(toxic)), np.diff(first))
+    all_rows = np.bincount(slots, minlength=SLOTS)
+    with_toxic = np.bincount(slots[toxic[row] > 0], minlength=SLOTS)
+    n_toxic = int(toxic.sum())
+    odds = np.log((with_toxic + 0.5) / (n_toxic - with_toxic + 0.5))
+    odds -= np.log((all_rows - with_toxic + 0.5) / (len(toxic) - n_toxic - (all_rows - with_toxic) + 0.5))
+    worth = np.where(all_rows >= min_rows, np.abs(odds) * np.log1p(with_toxic), -1)
+    order = np.argsort(-worth, kind="stable")
+    return order[: int((worth >= 0).sum())]
+
+
+def _only(slots: np.ndarray, first: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen features of each row."""
+    stay = np.zeros(SLOTS, bool)
+    stay[chosen] = True
+    hit = stay[slots]
+    return slots[hit], np.concatenate([[0], np.cumsum(hit)])[first]
+
+
+def _rows(slots: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(first)[which]
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(begin[-1]) - np.repeat(begin[:-1], sizes) + np.repeat(first[:-1][which], sizes)
+    return slots[at], begin
+
+
+def _held_out(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, test: np.ndarray, size: int) -> np.ndarray:
+    """Probabilities of the rows ``test`` by a fit that saw none of them, choice of features included."""
+    s, f = _rows(slots, first, np.flatnonzero(~test))
+    known = toxic[~test]
+    model = fit(*_only(s, f, ranked(s, f, known)[:size]), known, 2)
+    score = _sums(model.weights, *_rows(slots, first, np.flatnonzero(test)))
+    return 1 / (1 + np.exp(np.clip(model.thresholds[0] - score, -50, 50)))
+
+
+def _cut(p: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """The limit with the best mean of toxic rows caught and clean rows left alone, and that mean.
+
+    The middle of all best limits is taken.
+    """
+    tried = np.linspace(0.05, 0.95, 91)
+    caught = (p[toxic > 0][:, None] >= tried).mean(axis=0)
+    alone = (p[toxic == 0][:, None] < tried).mean(axis=0)
+    both = (caught + alone) / 2
+    best = np.flatnonzero(both >= both.max() - 1e-12)
+    return float(tried[best[len(best) // 2]]), float(both.max())
+
+
+def learn(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, folds: np.ndarray) -> Ordinal:
+    """Features, severe grade and limit by folds of the labelled rows, then one fit on all of them.
+
+    The number of features is the one that tells held-out rows apart best.  The labels tell
+    toxic from clean only; toxic rows above the median of their held-out probabilities are
+    the severe grade, so it isn't read off scores that the fit has memorised.  With fewer
+    than ``2 * FOLDS`` rows of a label there are no folds, and one grade of toxic rows.
+    """
+    if min((toxic == 0).sum(), (toxic > 0).sum()) < 2 * FOLDS:
+        chosen = ranked(slots, first, toxic, min_rows=1)[: SIZES[-1]]
+        return fit(*_only(slots, first, chosen), toxic, 2)
+    parts = [folds == k for k in range(FOLDS)]
+    worth = {}
+    for size in SIZES:
+        p = np.concatenate([_held_out(slots, first, toxic, part, size) for part in parts[:2]])
+        worth[size] = _cut(p, np.concatenate([toxic[part] for part in parts[:2]]))[1]
+    size = max(SIZES, key=lambda n: worth[n])
+    p = np.zeros(len(toxic))
+    for part in parts:
+        p[part] = _held_out(slots, first, toxic, part, size)
+    limit, _ = _cut(p, toxic)
+    severe = (toxic > 0) & (p > np.median(p[toxic > 0]))
+    chosen = ranked(slots, first, toxic)[:size]
+    final = fit(*_only(slots, first, chosen), toxic + severe, 3 if severe.any() else 2)
+    return Ordinal(final.weights, final.thresholds, limit)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Ordinal:
     """Fit grades 0 (clean), 1 (toxic) and 2 (severe) on a bounded sample of labelled rows.
 
-    The labels tell toxic from clean only.  A first fit with that one threshold orders the
-    toxic documents; those above their median are the severe grade of the second fit.
+    ``sample`` bounds the rows of each label; everything that is fitted comes from them.
     Without documents of both labels nothing is toxic.
     """
-    sample = F.broadcast(labelled_sample(labels, per_grade))
-    pairs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id")
+    picked = F.broadcast(labelled_sample(labels, sample))
+    pairs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(picked, "doc_id")
     got = map_batches(pairs.select("grade", "text"), _feature_batch, "grade int, slots binary").toArrow()
     grades = got["grade"].to_numpy()
     if len(np.unique(grades)) < 2:
         return Ordinal(np.zeros(SLOTS, np.float32), np.array([50.0, 60.0]))
     rows = [np.frombuffer(x, np.int32) for x in got["slots"].to_pylist()]
-    # Sorted, so that the fit doesn't depend on the order in which rows arrive.
-    order = sorted(range(len(rows)), key=lambda i: (grades[i], rows[i].tobytes()))
-    rows, grades = [rows[i] for i in order], grades[order].astype(np.int64)
+    # Sorted, so that the fit doesn't depend on the order in which rows arrive; equal rows share a fold.
+    keys = [hashlib.md5(r.tobytes()).digest() for r in rows]
+    order = sorted(range(len(rows)), key=lambda i: (grades[i], keys[i]))
+    rows, toxic = [rows[i] for i in order], grades[order].astype(np.int64)
+    folds = np.array([keys[i][0] % FOLDS for i in order])
     slots = np.concatenate(rows).astype(np.int64)
     first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    score = _sums(fit(slots, first, grades, 2).weights, slots, first)
-    severe = (grades == 1) & (score > np.median(score[grades == 1]))
-    return fit(slots, first, grades + severe, 3 if severe.any() else 2)
+    return learn(slots, first, toxic, folds)
 
 
 def severity(docs: DataFrame, model: Ordinal, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -177,7 +266,7 @@ def severity(docs: DataFrame, model: Ordinal, columns: tuple[str, ...] = ("doc_i
         out = {c: batch.column(c) for c in columns}
         out["severity"] = pa.array(above.sum(axis=1))
         out["p_toxic"] = pa.array(above[:, 0])
-        out["toxic"] = pa.array(above[:, 0] >= TOXIC_FROM)
+        out["toxic"] = pa.array(above[:, 0] >= model.value.limit)
         return pa.RecordBatch.from_pydict(out)
 
     picked = docs.select(*columns, F.col("text").cast("string").alias("_text"))
