@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanframe.llm import decontaminate, html, jaccard, lm, mixing, quality, repeats, secrets, tokens, toxicity
+from gleanframe.llm import (
+    decontaminate,
+    html,
+    jaccard,
+    lm,
+    mixing,
+    quality,
+    repeats,
+    secrets,
+    simhash,
+    tokens,
+    toxicity,
+)
 from gleanframe.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +87,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", F.col("target"), "taken")
+
+
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(table(spark, sf_dir, "documents"))
