@@ -38,4 +38,53 @@ SELECT doc_id, any_value(size) AS size, any_value(source_size)::BIGINT AS source
 FROM run GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op10_source_mix": SOURCE_MIX}
+# CRC-32: its table of 256 entries by the polynomial, then one step per byte.
+CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+           lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS steps
+)"""
+
+
+def crc32(text: str) -> str:
+    """Of characters up to U+00FF, with ``steps`` of the table at hand."""
+    code = f"list_transform(string_split({text}, ''), lambda c: unicode(c)::BIGINT)"
+    utf8 = f"flatten(list_transform({code}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 | (c >> 6), 128 | (c & 63)] END))"
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {utf8}),
+      lambda a, b: xor(a >> 8, steps[xor(a & 255, b) + 1])), 4294967295)"""
+
+
+SPELLING = rf"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, times, {crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, crc
+), made AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times
+  FROM hashed
+), words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), gone AS (
+  SELECT DISTINCT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM gone a JOIN gone b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, w.word FROM gone a JOIN words w ON a.rest = w.word
+  UNION SELECT w.word, a.word FROM gone a JOIN words w ON a.rest = w.word
+), best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, (-o.n, other)) AS form, max(o.n) AS form_n
+  FROM near JOIN words o ON o.word = near.other GROUP BY near.word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form,
+         CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+), steps_up AS (
+  SELECT word, word AS top FROM forms UNION ALL
+  SELECT s.word, f.form FROM steps_up s JOIN forms f ON f.word = s.top WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, s.top AS root, f.n, f.n_near, f.form_n FROM forms f
+JOIN steps_up s ON s.word = f.word JOIN forms last ON last.word = s.top AND last.form IS NULL
+"""
+
+ORACLES: dict[str, str] = {"op10_source_mix": SOURCE_MIX, "op12_spelling_variants": SPELLING}

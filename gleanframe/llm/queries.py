@@ -18,6 +18,7 @@ from gleanframe.llm import (
     repeats,
     secrets,
     simhash,
+    spelling,
     tokens,
     toxicity,
 )
@@ -92,3 +93,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
