@@ -87,4 +87,42 @@ SELECT f.word, f.form, s.top AS root, f.n, f.n_near, f.form_n FROM forms f
 JOIN steps_up s ON s.word = f.word JOIN forms last ON last.word = s.top AND last.form IS NULL
 """
 
-ORACLES: dict[str, str] = {"op10_source_mix": SOURCE_MIX, "op12_spelling_variants": SPELLING}
+CONVERSATION_TRIE = f"""
+WITH {CRC_TABLE}, ordered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), heads AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32("conv_id::VARCHAR")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM ordered), crc
+), rebuilt AS (
+  SELECT h.conv_id, 0 AS part, pos, role, text FROM heads h JOIN ordered o ON o.conv_id = h.base AND pos < h.h
+  UNION ALL SELECT h.conv_id, 1, pos, role, text FROM heads h JOIN ordered o ON o.conv_id = h.conv_id AND pos >= h.h
+), sequences AS (
+  SELECT h.conv_id, coalesce(list([role, text] ORDER BY part, pos) FILTER (WHERE role IS NOT NULL), []) AS said
+  FROM heads h LEFT JOIN rebuilt r ON r.conv_id = h.conv_id GROUP BY h.conv_id
+), begun AS (
+  SELECT conv_id, said[1:depth] AS key, depth, len(said) = depth AS ends
+  FROM (SELECT *, unnest(range(len(said) + 1)) AS depth FROM sequences)
+), nodes AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids
+  FROM begun GROUP BY key, depth
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.key[1:n.depth] = n.key) AS n_children,
+         CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * length(n.key[n.depth][2]) END AS own
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.key = n.key[1:n.depth - 1]
+), up AS (
+  SELECT key[1:above] AS key, above, own, n_children FROM (SELECT *, unnest(range(depth + 1)) AS above FROM linked)
+), totals AS (
+  SELECT key, above AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM up GROUP BY ALL
+)
+SELECT conv_id, l.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ids) AS ends_sha256
+FROM linked l JOIN totals t ON t.key = l.key AND t.depth = l.depth
+"""
+
+ORACLES: dict[str, str] = {
+    "op10_source_mix": SOURCE_MIX,
+    "op12_spelling_variants": SPELLING,
+    "op13_conversation_trie": CONVERSATION_TRIE,
+}

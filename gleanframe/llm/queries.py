@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanframe.llm import (
+    convtrie,
     decontaminate,
     html,
     jaccard,
@@ -98,3 +99,8 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.conversation_trie(table(spark, sf_dir, "conversations"))
