@@ -36,12 +36,17 @@ def attempt(
 def as_log(
     classified: DataFrame, spec: ExtractionSpec, run_tag: str, run_id: str, wave: int
 ) -> DataFrame:
+    """Log rows; the time of an attempt is the start of its call where the completer says it."""
+    now, took = F.current_timestamp(), F.lit(None).cast("long")
+    if "started_at" in classified.columns:
+        now, took = F.coalesce("started_at", now), F.col("latency_ms")
     stamped = classified.withColumns(
         {
             "run_tag": F.lit(run_tag),
             "run_id": F.lit(run_id),
             "wave": F.lit(wave),
-            "timestamp": F.current_timestamp(),
+            "timestamp": now,
+            "latency_ms": took,
             "model": F.lit(spec.model),
         }
     )

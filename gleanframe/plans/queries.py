@@ -123,7 +123,7 @@ def _store(spark: SparkSession) -> Store:
 
 def _finished_run(spark: SparkSession, sf_dir: str) -> Store:
     store = _store(spark)
-    run_extraction(store, corpus(spark, sf_dir), RuleCompleter(), "a", "run1")
+    run_extraction(store, corpus(spark, sf_dir), RuleCompleter(), "a", "run1", breaker=None)
     return store
 
 
@@ -363,7 +363,7 @@ def completion_wave(spark, sf_dir):
     """One stored wave with a Python function called once per chunk."""
     store = _store(spark)
     completer = FunctionCompleter(read_back, concurrency=8)
-    run_extraction(store, corpus(spark, sf_dir), completer, "a", "run1", max_waves=1)
+    run_extraction(store, corpus(spark, sf_dir), completer, "a", "run1", max_waves=1, breaker=None)
     return store.results().select("file", "chunknumber", *COLUMNS)
 
 
@@ -389,9 +389,9 @@ def resumed_run(spark, sf_dir):
     """A run stopped after its first wave, continued, then followed by a second run."""
     store = _store(spark)
     documents = corpus(spark, sf_dir)
-    run_extraction(store, documents, RuleCompleter(), "a", "run1", max_waves=1)
-    run_extraction(store, documents, RuleCompleter(), "a", "run1")
-    run_extraction(store, documents, RuleCompleter(), "a", "run2")
+    run_extraction(store, documents, RuleCompleter(), "a", "run1", max_waves=1, breaker=None)
+    run_extraction(store, documents, RuleCompleter(), "a", "run1", breaker=None)
+    run_extraction(store, documents, RuleCompleter(), "a", "run2", breaker=None)
     return store.log().select("run_id", "file", "chunknumber", "wave", "outcome")
 
 

@@ -8,6 +8,7 @@ added meanwhile join it.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.operators.attempts import attempt
 from gleanframe.operators.chunks import CHUNK_KEY, chunk_texts, slice_chunks, usable
-from gleanframe.operators.completion import Completer
+from gleanframe.operators.completion import Completer, FunctionCompleter
 from gleanframe.operators.pending import failures_since, pending_chunks
 from gleanframe.operators.store import Store
 
@@ -29,11 +30,22 @@ MAX_WARNINGS = 10
 
 @dataclass(frozen=True)
 class Breaker:
-    """Stops a run before its next wave once errors or warnings exceed their limits."""
+    """Stops a run once errors or warnings exceed their limits.
+
+    Every slice or wave is counted when it has been committed.  Inside of it a completer that
+    can pause leaves further rows alone when its share of the errors left is used up in a
+    Python worker, so calls that all fail end after the limit and the calls in flight, not
+    after the corpus.
+    """
 
     max_errors: int = MAX_ERRORS
     max_warnings: int = MAX_WARNINGS
 
+    def share(self, counts: list[dict], workers: int) -> int:
+        """Errors after which one of so many workers pauses; together they pass the limit."""
+        left = self.max_errors + 1 - sum(c["errors"] for c in counts)
+        return max(1, -(-left // workers))
+
     def trips(self, counts: list[dict]) -> bool:
         errors = sum(c["errors"] for c in counts)
         warnings = sum(c["warnings"] for c in counts)
@@ -81,7 +93,7 @@ def run_extraction(
     completer: Completer,
     run_tag: str,
     run_id: str,
-    breaker: Breaker | None = None,
+    breaker: Breaker | None = Breaker(),
     max_waves: int | None = None,
     slices: int = 1,
 ) -> list[dict]:
@@ -89,7 +101,9 @@ def run_extraction(
 
     A wave is what is committed at once: all pending chunks, or with ``slices`` those of
     one hash slice, so that a stopped run loses a slice of calls at most and the breaker
-    looks after each slice.
+    looks after each slice.  Without a breaker a run goes on whatever fails.
+
+    A completer that pauses leaves rows out of a wave; they are pending like any other.
 
     Call it again with the same ``run_id`` to continue a stopped run, with a new one to
     give every unfinished chunk a fresh failure budget.  Only counts per wave come back
@@ -104,6 +118,7 @@ def run_extraction(
         store.derive_results(run_tag, run_id)
     wave = max((c["wave"] for c in earlier), default=0) + 1
     summaries: list[dict] = []
+    counts = earlier
     turn = idle = 0
     # The run ends when every slice in turn has nothing left that could be attempted.
     while idle < slices and (max_waves is None or len(summaries) < max_waves):
@@ -120,7 +135,11 @@ def run_extraction(
                 continue
             requests = slice_chunks(left, usable(documents), carry=("attempt",))
         requests = requests.select("file", "chunknumber", "attempt", "chunk_text")
-        attempts = attempt(requests, store.spec, completer, run_tag, run_id, wave)
+        asked = completer
+        if breaker and isinstance(completer, FunctionCompleter):
+            workers = store.spark.sparkContext.defaultParallelism
+            asked = completer.pausing(uuid.uuid4().hex, breaker.share(counts, workers))
+        attempts = attempt(requests, store.spec, asked, run_tag, run_id, wave)
         store.write_wave(attempts, run_tag, run_id, wave)
         counts = wave_counts(store, run_tag, run_id)
         if not counts or counts[-1]["wave"] != wave:

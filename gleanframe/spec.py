@@ -158,6 +158,7 @@ LOG_SCHEMA = T.StructType(
         T.StructField("chunknumber", T.IntegerType(), False),
         T.StructField("attempt", T.IntegerType(), False),
         T.StructField("timestamp", T.TimestampType(), False),
+        T.StructField("latency_ms", T.LongType()),
         T.StructField("model", T.StringType(), False),
         T.StructField("raw_response", T.StringType()),
         T.StructField("success", T.BooleanType(), False),

@@ -1,6 +1,8 @@
 import json
+import time
 from dataclasses import replace
 from datetime import datetime
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,11 +11,14 @@ from gleanframe.operators.attempts import attempt, request_id
 from gleanframe.operators.chunks import chunk_texts
 from gleanframe.operators.completion import FunctionCompleter, RuleCompleter
 from gleanframe.operators.store import Store
-from gleanframe.plans.run import Breaker, BreakerTripped, run_extraction
+from gleanframe.plans import run
+from gleanframe.plans.run import Breaker, BreakerTripped
 from gleanframe.plans.sample import SPEC
 from gleanframe.sources.documents import with_status
 from gleanframe.spec import NodeSpec
 
+# The rule completer has faults in its replies.
+run_extraction = partial(run.run_extraction, breaker=None)
 KEYS = ["run_id", "file", "chunknumber", "wave", "outcome", "id"]
 
 
@@ -191,7 +196,7 @@ def test_slices_end_like_one_and_commit_one_by_one(spark, documents, spec, tmp_p
 def test_breaker_stops_after_the_first_slice(spark, documents, spec, tmp_path):
     store = Store(spark, f"{tmp_path}/s", spec)
     with pytest.raises(BreakerTripped):
-        run_extraction(store, documents, RuleCompleter(), "a", "r", Breaker(0, 0), slices=4)
+        run_extraction(store, documents, RuleCompleter(), "a", "r", breaker=Breaker(0, 0), slices=4)
     assert store.log().count() < store.chunks().count()
 
 
@@ -200,3 +205,81 @@ def test_ids_of_different_parts_differ(spark):
     frame = spark.createDataFrame(rows, "tag string, run string")
     frame = frame.selectExpr("*", "'f' AS file", "1 AS chunknumber", "1 AS attempt")
     assert frame.select(request_id(F.col("tag"), F.col("run"))).distinct().count() == len(rows)
+
+
+CALL = "file string, chunknumber int, attempt int, chunk_text string"
+
+
+def calls(path):
+    return len(path.read_text().splitlines()) if path.exists() else 0
+
+
+def failing(path, healthy=None):
+    """A function that fails while ``healthy`` doesn't exist and notes every call."""
+
+    def answer(payload: str) -> str:
+        with open(path, "a") as file:
+            file.write("call\n")
+        if healthy is None or not healthy.exists():
+            raise ConnectionError("refused")
+        return json.dumps({"choices": [{"message": {"content": '{"title": "t", "quote": "q"}'}}]})
+
+    return answer
+
+
+@pytest.mark.parametrize("tasks,in_flight", ((1, 1), (40, 3)))
+def test_failing_calls_stop_inside_the_wave(spark, spec, tmp_path, tasks, in_flight):
+    documents = with_status(spark.range(600).selectExpr("concat('s/', id) AS file", "'Some words.' AS content"))
+    store, noted, healthy = Store(spark, f"{tmp_path}/s", replace(spec, max_failures=5)), tmp_path / "calls", tmp_path / "healthy"
+    completer = FunctionCompleter(failing(noted, healthy), tasks, in_flight)
+    breaker = Breaker(max_errors=3)
+    with pytest.raises(BreakerTripped):
+        while True:
+            run.run_extraction(store, documents, completer, "a", "r", breaker=breaker)
+    # Every worker stops after its share of the limit; what was called is in the log.
+    workers = spark.sparkContext.defaultParallelism
+    assert 4 <= calls(noted) <= 4 + workers * in_flight + workers
+    assert store.log().count() == calls(noted) == store.log().where("outcome = 'request_failed'").count()
+    # What was left out is pending, and a run without the fault goes on with it.
+    healthy.touch()
+    failed = store.log().count()
+    run_extraction(store, documents, completer, "a", "r")
+    assert store.results().count() == 600 and store.log().count() == 600 + failed
+
+
+def test_a_hanging_call_ends_at_its_deadline(spark, spec):
+    def answer(payload: str) -> str:
+        if "hang" in json.loads(payload)["messages"][1]["content"]:
+            time.sleep(60)
+        return json.dumps({"choices": [{"message": {"content": "{}"}}]})
+
+    rows = [("s/1", i, 1, "hang" if i == 1 else "fine") for i in range(4)]
+    spec = replace(spec, timeout=1)
+    began = time.time()
+    log = attempt(spark.createDataFrame(rows, CALL).coalesce(1), spec, FunctionCompleter(answer, None, 2), "a", "r", 1)
+    found = {r.chunknumber: r for r in log.collect()}
+    assert time.time() - began < 20
+    assert found[1].outcome == "request_failed" and found[1].error_message.endswith("no reply within 1 s")
+    assert found[1].latency_ms == 1000 and all(found[i].latency_ms < 1000 for i in (0, 2, 3))
+    assert {found[i].outcome for i in (0, 2, 3)} == {"empty_object"}
+    assert all(began - 1 <= r.timestamp.timestamp() <= time.time() for r in found.values())
+
+
+def test_calls_in_flight_overlap_and_keep_their_order(spark, spec):
+    def answer(payload: str) -> str:
+        text = json.loads(payload)["messages"][1]["content"]
+        time.sleep(0.1 + 0.01 * (int(text) % 3))
+        value = json.dumps({"title": text, "quote": text})
+        return json.dumps({"choices": [{"message": {"content": value}}]})
+
+    rows = [("s/1", i, 1, str(i)) for i in range(64)]
+    took = {}
+    for in_flight in (1, 8):
+        frame = spark.createDataFrame(rows, CALL).coalesce(1)
+        log = attempt(frame, spec, FunctionCompleter(answer, None, in_flight), "a", "r", 1)
+        began = time.time()
+        found = log.collect()
+        took[in_flight] = time.time() - began
+        assert [r.chunknumber for r in found] == list(range(64))
+        assert [r.extracted["title"] for r in found] == [str(i) for i in range(64)]
+    assert took[8] < took[1] / 3
