@@ -9,6 +9,7 @@ from __future__ import annotations
 from gleanframe.plans.sample import (
     CHUNK_SIZE,
     COLUMNS,
+    GRID,
     MAX_FAILURES,
     RESULT_VALUE,
     RUN_END,
@@ -196,6 +197,15 @@ ORACLES: dict[str, str] = {
           max("end" - start) AS max_length, sum("end" - start) AS total_length,
           avg("end" - start) AS avg_length FROM chunks GROUP BY file"""
     ),
+    "long_document_bounds": chunks(' SELECT file, chunknumber, start, "end" FROM chunks'),
+    "chunk_size_grid": " UNION ALL ".join(
+        "SELECT * FROM (" + chunks(
+            f""" SELECT {size}::BIGINT AS size, count(*) AS chunks, min("end" - start) AS min_length,
+              avg("end" - start) AS avg_length, max("end" - start) AS max_length FROM chunks""",
+            str(size),
+        ) + ")"
+        for size in GRID
+    ),
     "empty_chunks": chunks(
         CHANGED
         + """ SELECT c.file, c.chunknumber, false AS success,

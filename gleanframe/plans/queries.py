@@ -18,6 +18,7 @@ from gleanframe.operators import chunks as C
 from gleanframe.operators import pending as P
 from gleanframe.operators import reports as R
 from gleanframe.operators.attempts import as_results, attempt, replay
+from gleanframe.operators.blocks import chunk_size_grid, cut_in_blocks
 from gleanframe.operators.completion import (
     Completer,
     FunctionCompleter,
@@ -30,6 +31,7 @@ from gleanframe.plans.run import Breaker, breaker_state, run_extraction
 from gleanframe.plans.sample import (
     CHUNK_SIZE,
     COLUMNS,
+    GRID,
     MAX_FAILURES,
     RESULT_VALUE,
     RUN_END,
@@ -144,6 +146,15 @@ def chunk_slices(spark, sf_dir):
     return sliced.select("file", "chunknumber", "chunk_text")
 
 
+def long_document_bounds(spark, sf_dir):
+    """The bounds of all documents, cut in blocks of two chunks' length at the same time."""
+    return cut_in_blocks(corpus(spark, sf_dir), CHUNK_SIZE, 2 * CHUNK_SIZE)
+
+
+def size_grid(spark, sf_dir):
+    return chunk_size_grid(spread(corpus(spark, sf_dir), "file"), GRID)
+
+
 def chunk_stats(spark, sf_dir):
     return C.chunk_stats(_chunks(spark, sf_dir))
 
@@ -566,12 +577,13 @@ RENAMED = {
     "whitespace_collapsed": "collapse_whitespace",
     "log_excerpts": "log_excerpt",
     "breaker_counts": "breaker_state",
+    "size_grid": "chunk_size_grid",
 }
 
 QUERIES = {
     RENAMED.get(query.__name__, query.__name__): query
     for query in (
-        chunk_bounds, chunk_text, chunk_slices, chunk_stats, empty_chunks, bounds_drift,
+        chunk_bounds, chunk_text, chunk_slices, chunk_stats, long_document_bounds, size_grid, empty_chunks, bounds_drift,
         known_files, active_files, register_chunks, key_uniqueness,
         pending_chunks, pending_by_tag, results_in_window, skipped_chunks, run_summary,
         retry_budget, consecutive_failures, latest_attempt, ts_window,

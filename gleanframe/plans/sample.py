@@ -6,6 +6,8 @@ import json
 
 from gleanframe.spec import ExtractionSpec, NodeSpec
 
+# Chunk sizes that are compared.
+GRID = [500, 1000, 2000, 4000]
 CHUNK_SIZE = 1000
 MAX_FAILURES = 2
 TEMPLATE = """Extract the fields below and answer with one JSON object.
