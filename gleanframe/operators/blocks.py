@@ -106,7 +106,8 @@ def cut_in_blocks(documents: DataFrame, size: int, block: int = BLOCK) -> DataFr
     tables = blocks.mapInArrow(tabulate, "file string, block int, leaves binary, chunks binary")
     in_order = tables.repartition("file").sortWithinPartitions("file", "block")
     entered = in_order.mapInArrow(follow, "file string, block int, entry int, first int")
-    return blocks.join(entered, ["file", "block"]).mapInArrow(bounds, "file string, chunknumber int, start int, end int")
+    # Texts stay where they were dealt; a broadcast of either side would move them again.
+    return blocks.join(entered.hint("merge"), ["file", "block"]).mapInArrow(bounds, "file string, chunknumber int, start int, end int")
 
 
 def chunk_size_grid(documents: DataFrame, sizes: list[int]) -> DataFrame:
