@@ -43,11 +43,15 @@ SKETCH_SCHEMA = "".join(f", {name} long" for name in SKETCH)
 
 @dataclass(frozen=True)
 class Join:
-    """Words per shingle, and the threshold as a fraction."""
+    """Words per shingle, the threshold as a fraction, and rounds of hubs before pairs are compared in full.
+
+    The lower the threshold, the more members of a group of copies aren't near its first hub.
+    """
 
     words: int = 3
     num: int = 90
     den: int = 100
+    rounds: int = 0
 
     def base_prefix(self, n: np.ndarray) -> np.ndarray:
         """Prefix length for one match: n - ceil(n * num / den) + 1."""
@@ -268,7 +272,7 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
         met = common * (join.num + join.den) >= total * join.num
         return pairs.join(left, "a").join(right, "b").where(met).select("a", "b")
 
-    labels = components(links(buckets, possible, verify, matches=True))
+    labels = components(links(buckets, possible, verify, matches=True, rounds=join.rounds))
     named = sets.select("doc_id", "text_key", "id", "n").join(labels, "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )

@@ -2,9 +2,12 @@
 
 Tokens that several sets share make buckets.  First every bucket's members are compared
 with one of them, its hub, which links a group of near copies with as many pairs as it has
-members.  Members that are then in one component need no comparison.  What is left, pairs
-of one bucket in different components, is compared in full, so no link between components
-is lost.  Joins on tokens may be split where a token is frequent.
+members.  Members that are then in one component need no comparison.  A group of near copies
+has members that are not near its hub but near others, so in further rounds (``rounds``) the
+bucket's members meet ``HUBS`` more from the large component and as many from outside of it,
+which leaves few of them apart.  What is left, pairs of one bucket in different components,
+is compared in full, so no link between components is lost.  Joins on tokens may be split
+where a token is frequent.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 from gleanframe.llm.components import components
 from gleanframe.llm.tables import kept
 
+# Hubs from each side of a bucket in a round after the first.
+HUBS = 6
+
 # Checks candidate pairs (a, b) and returns the linked ones.
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -34,13 +40,13 @@ def _labelled(buckets: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def links(buckets: DataFrame, possible: Callable[[str, str], Column], verify: Verify, matches: bool) -> DataFrame:
+def links(buckets: DataFrame, possible: Callable[[str, str], Column], verify: Verify, matches: bool, rounds: int = 0) -> DataFrame:
     """Linked pairs ``(a, b)`` whose components are those of all links.
 
     ``buckets`` has ``token``, ``id`` and whatever ``possible`` reads: a condition on two
     aliased rows of a bucket that every linked pair meets.  With ``matches`` the rows carry
     ``lost``, ``level`` and ``ell``, and a pair needs as many common tokens within both sides' first
-    ``min(ell)`` levels as the lesser ``ell``.
+    ``min(ell)`` levels as the lesser ``ell``.  ``rounds`` changes the work, not the components.
     """
     # The hub is the member that lost least, which is near the centre of a group of copies;
     # among equals, any fixed choice.
@@ -65,11 +71,39 @@ def links(buckets: DataFrame, possible: Callable[[str, str], Column], verify: Ve
     # A pair may share more buckets than those with this hub; it then has its turn below.
     first = kept(verify(near(rows, hub_rows, F.col("o.id") != F.col("x.id"))))
 
-    rows = kept(_open(_labelled(rows, first)))
-    # The component of the hub is the large one; only members outside of it start pairs.
+    found = first
+    for number in range(rounds):
+        rows = kept(_sided(_open(_labelled(rows, found)), hubs))
+        if rows.isEmpty():
+            return found
+        more = _more_hubs(rows, number)
+        once = F.col("o.component") != F.col("x.component")
+        found = found.unionByName(kept(verify(near(rows, more, once))))
+    rows = kept(_sided(_open(_labelled(rows, found)), hubs))
+    # Only members outside of the large component start pairs.
+    once = (F.col("o.component") != F.col("x.component")) & (F.col("x.in_main") | (F.col("o.id") < F.col("x.id")))
+    return found.unionByName(verify(near(rows.where("not in_main"), rows, once)))
+
+
+def _sided(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Rows with ``in_main``: whether they are in the component of their bucket's first hub, the large one."""
+    rows = rows.drop("in_main")
     of_hub = rows.join(hubs, ["token", "rank"]).groupBy("token").agg(F.min("component").alias("main"))
-    rows = rows.join(of_hub, "token", "left").withColumn(
+    return rows.join(of_hub, "token", "left").withColumn(
         "in_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False))
-    )
-    once = (F.col("o.component") != F.col("x.component")) & (F.col("x.in_main") | (F.col("o.id") < F.col("x.id")))
-    return first.unionByName(verify(near(rows.where("not in_main"), rows, once)))
+    ).drop("main")
+
+
+def _more_hubs(rows: DataFrame, number: int) -> DataFrame:
+    """``HUBS`` members of each bucket's large component and as many others, least in orders of their own.
+
+    The orders are the same for all buckets, so members of a group have the same hubs in each
+    bucket that they share.
+    """
+    orders = [F.xxhash64("id", F.lit(number * HUBS + k)) for k in range(HUBS)]
+    least = [F.min(o).alias(f"least{k}") for k, o in enumerate(orders)]
+    chosen = rows.groupBy("token", "in_main").agg(*least)
+    is_hub = F.lit(False)
+    for k, order in enumerate(orders):
+        is_hub = is_hub | (order == F.col(f"least{k}"))
+    return rows.join(chosen, ["token", "in_main"]).where(is_hub).select(*rows.columns)

@@ -237,14 +237,20 @@ def brute_classes(texts, size, num, den):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("size,num,den", [(3, 90, 100), (5, 80, 100)])
-def test_jaccard_classes(spark, texts, size, num, den):
+@pytest.mark.parametrize("size,num,den,rounds", [(3, 90, 100, 0), (5, 80, 100, 0), (5, 80, 100, 2)])
+def test_jaccard_classes(spark, texts, size, num, den, rounds):
     base = [f"w{i}" for i in range(60)]
     more = dict(texts) | {
         10_000 + k: " ".join(f"x{k}" if i in (k, k * 7 % 60) else w for i, w in enumerate(base)) for k in range(40)
-    } | {20_000: " ".join(base), 20_001: "one two", 20_002: "ONE two", 20_003: ""}
+    }
+    # A group whose members lie all around the threshold from each other.
+    rng = np.random.default_rng(7)
+    for k in range(60):
+        edits = set(rng.choice(200, int(rng.integers(1, 5)), replace=False).tolist())
+        more[30_000 + k] = " ".join(f"y{k}" if i in edits else f"g{i}" for i in range(200))
+    more |= {20_000: " ".join(base), 20_001: "one two", 20_002: "ONE two", 20_003: ""}
     docs = spark.createDataFrame(list(more.items()), "doc_id long, text string").repartition(4)
-    found = jaccard.jaccard_classes(docs, jaccard.Join(size, num, den)).collect()
+    found = jaccard.jaccard_classes(docs, jaccard.Join(size, num, den, rounds)).collect()
     assert {r.doc_id: (r.n, r.component_id) for r in found} == brute_classes(more, size, num, den)
 
 
