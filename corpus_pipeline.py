@@ -15,7 +15,7 @@ from gleanframe.llm.queries import TOKENIZER
 from gleanframe.llm.tables import DOCUMENT_COLUMNS, kept, table
 
 # Near copies share five-word shingles with a similarity of 0.8.
-NEAR_COPIES = jaccard.Join(words=5, num=80, den=100)
+NEAR_COPIES = jaccard.Join(words=5, num=80, den=100, rounds=2)
 # A row of documents is told from others by its id and a hash of its text.
 KEY = ("doc_id", "text_key")
 
