@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.llm.tables import map_batches
-from gleanframe.llm.words import Words, mix, word_hashes, words
+from gleanframe.llm.tables import kept, map_batches
+from gleanframe.llm.words import Words, lists, mix, word_hashes, words
 
 SLOTS = 1 << 18
 # Bytes of a word that stand for its stem.
@@ -129,9 +130,14 @@ def fit(
 
 
 def _feature_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Slots, a name that equal rows share, and the fold that follows from it."""
     slots, first = features(batch.column("text"))
-    rows = [slots[first[r] : first[r + 1]].astype(np.int32).tobytes() for r in range(batch.num_rows)]
-    return pa.RecordBatch.from_pydict({"grade": batch.column("grade"), "slots": pa.array(rows, pa.binary())})
+    slots = slots.astype(np.int32)
+    names = [hashlib.md5(slots[first[r] : first[r + 1]].tobytes()) for r in range(batch.num_rows)]
+    return pa.RecordBatch.from_pydict({
+        "grade": batch.column("grade"), "fold": pa.array([n.digest()[0] % FOLDS for n in names], pa.int32()),
+        "name": pa.array([n.hexdigest() for n in names]), "slots": lists(pa.array(slots), first),
+    })
 
 
 def labelled_sample(labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
@@ -147,21 +153,38 @@ def labelled_sample(labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Data
     return parts[0].unionByName(parts[1])
 
 
-def ranked(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, min_rows: int = MIN_ROWS) -> np.ndarray:
-    """Features that enough rows hold, the most telling first.
+class Counts(NamedTuple):
+    """Rows that hold each of ``slots`` and rows at all, by label and fold."""
 
-    The order is by the log odds between toxic and clean rows times the logarithm of the
-    toxic rows with the feature, so one that a few rows share by chance comes late.
-    """
-    row = np.repeat(np.arange(len(toxic)), np.diff(first))
-    all_rows = np.bincount(slots, minlength=SLOTS)
-    with_toxic = np.bincount(slots[toxic[row] > 0], minlength=SLOTS)
-    n_toxic = int(toxic.sum())
-    odds = np.log((with_toxic + 0.5) / (n_toxic - with_toxic + 0.5))
-    odds -= np.log((all_rows - with_toxic + 0.5) / (len(toxic) - n_toxic - (all_rows - with_toxic) + 0.5))
-    worth = np.where(all_rows >= min_rows, np.abs(odds) * np.log1p(with_toxic), -1)
-    order = np.argsort(-worth, kind="stable")
-    return order[: int((worth >= 0).sum())]
+    slots: np.ndarray
+    holding: np.ndarray
+    rows: np.ndarray
+
+    def ranked(self, without: int | None = None, min_rows: int = MIN_ROWS) -> np.ndarray:
+        """Features that enough rows outside of a fold hold, the most telling first.
+
+        The order is by the log odds between toxic and clean rows times the logarithm of the
+        toxic rows with the feature, so one that a few rows share by chance comes late.
+        """
+        used = [k for k in range(FOLDS) if k != without]
+        clean, toxic = self.holding[:, used].sum(axis=1)
+        n_clean, n_toxic = self.rows[:, used].sum(axis=1)
+        odds = np.log((toxic + 0.5) / (n_toxic - toxic + 0.5)) - np.log((clean + 0.5) / (n_clean - clean + 0.5))
+        worth = np.where(clean + toxic >= min_rows, np.abs(odds) * np.log1p(toxic), -1)
+        order = np.lexsort((self.slots, -worth))
+        return self.slots[order[: int((worth >= 0).sum())]]
+
+
+def _counted(rows: DataFrame, min_rows: int) -> Counts:
+    """Counts over the labelled rows; the driver gets a row per feature of ``min_rows`` rows, ``SLOTS`` at most."""
+    cells = [(g, k) for g in (0, 1) for k in range(FOLDS)]
+    inside = [F.count_if((F.col("grade") == g) & (F.col("fold") == k)).alias(f"c{g}_{k}") for g, k in cells]
+    sizes = rows.agg(*inside).first()
+    held = rows.select("grade", "fold", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"), *inside)
+    got = held.where(F.col("n") >= min_rows).drop("n").toArrow()
+    shape = lambda values: np.array(values).reshape(2, FOLDS, -1)
+    holding = shape([got[f"c{g}_{k}"].to_numpy() for g, k in cells])
+    return Counts(got["slot"].to_numpy(), holding, shape([sizes[f"c{g}_{k}"] for g, k in cells])[:, :, 0])
 
 
 def _only(slots: np.ndarray, first: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,12 +202,11 @@ def _rows(slots: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.n
     return slots[at], begin
 
 
-def _held_out(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, test: np.ndarray, size: int) -> np.ndarray:
-    """Probabilities of the rows ``test`` by a fit that saw none of them, choice of features included."""
-    s, f = _rows(slots, first, np.flatnonzero(~test))
-    known = toxic[~test]
-    model = fit(*_only(s, f, ranked(s, f, known)[:size]), known, 2)
-    score = _sums(model.weights, *_rows(slots, first, np.flatnonzero(test)))
+def _held_out(slots, first, toxic, folds, chosen: np.ndarray, fold: int) -> np.ndarray:
+    """Probabilities of a fold's rows by a fit that saw none of them."""
+    s, f = _rows(slots, first, np.flatnonzero(folds != fold))
+    model = fit(*_only(s, f, chosen), toxic[folds != fold], 2)
+    score = _sums(model.weights, *_rows(slots, first, np.flatnonzero(folds == fold)))
     return 1 / (1 + np.exp(np.clip(model.thresholds[0] - score, -50, 50)))
 
 
@@ -201,54 +223,69 @@ def _cut(p: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(tried[best[len(best) // 2]]), float(both.max())
 
 
-def learn(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, folds: np.ndarray) -> Ordinal:
-    """Features, severe grade and limit by folds of the labelled rows, then one fit on all of them.
+def learn(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray, folds: np.ndarray, order: list[np.ndarray]) -> Ordinal:
+    """Number of features, severe grade and limit by folds of the labelled rows, then one fit on all of them.
 
-    The number of features is the one that tells held-out rows apart best.  The labels tell
+    ``order`` has the features ranked without each fold, and without none at its end.  The
+    number of features is the one that tells held-out rows apart best.  The labels tell
     toxic from clean only; toxic rows above the median of their held-out probabilities are
-    the severe grade, so it isn't read off scores that the fit has memorised.  With fewer
-    than ``2 * FOLDS`` rows of a label there are no folds, and one grade of toxic rows.
+    the severe grade, so it isn't read off scores that the fit has memorised.
     """
-    if min((toxic == 0).sum(), (toxic > 0).sum()) < 2 * FOLDS:
-        chosen = ranked(slots, first, toxic, min_rows=1)[: SIZES[-1]]
-        return fit(*_only(slots, first, chosen), toxic, 2)
-    parts = [folds == k for k in range(FOLDS)]
     worth = {}
     for size in SIZES:
-        p = np.concatenate([_held_out(slots, first, toxic, part, size) for part in parts[:2]])
-        worth[size] = _cut(p, np.concatenate([toxic[part] for part in parts[:2]]))[1]
+        p = np.concatenate([_held_out(slots, first, toxic, folds, order[k][:size], k) for k in (0, 1)])
+        worth[size] = _cut(p, np.concatenate([toxic[folds == k] for k in (0, 1)]))[1]
     size = max(SIZES, key=lambda n: worth[n])
     p = np.zeros(len(toxic))
-    for part in parts:
-        p[part] = _held_out(slots, first, toxic, part, size)
+    for k in range(FOLDS):
+        p[folds == k] = _held_out(slots, first, toxic, folds, order[k][:size], k)
     limit, _ = _cut(p, toxic)
     severe = (toxic > 0) & (p > np.median(p[toxic > 0]))
-    chosen = ranked(slots, first, toxic)[:size]
-    final = fit(*_only(slots, first, chosen), toxic + severe, 3 if severe.any() else 2)
+    final = fit(*_only(slots, first, order[-1][:size]), toxic + severe, 3 if severe.any() else 2)
     return Ordinal(final.weights, final.thresholds, limit)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Ordinal:
     """Fit grades 0 (clean), 1 (toxic) and 2 (severe) on a bounded sample of labelled rows.
 
-    ``sample`` bounds the rows of each label; everything that is fitted comes from them.
-    Without documents of both labels nothing is toxic.
+    ``sample`` bounds the rows of each label; everything that is fitted comes from them.  Features
+    are counted where the rows are; the driver gets the counts and then of each row only the
+    features that some fold may choose.  Where a fold has no toxic or no clean row there are
+    no folds, and one grade of toxic rows.  Without documents of both labels nothing is toxic.
     """
     picked = F.broadcast(labelled_sample(labels, sample))
     pairs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(picked, "doc_id")
-    got = map_batches(pairs.select("grade", "text"), _feature_batch, "grade int, slots binary").toArrow()
-    grades = got["grade"].to_numpy()
-    if len(np.unique(grades)) < 2:
+    schema = "grade int, fold int, name string, slots array<int>"
+    rows = kept(map_batches(pairs.select("grade", "text"), _feature_batch, schema))
+    counts = _counted(rows, MIN_ROWS)
+    if not counts.rows.sum(axis=1).all():
         return Ordinal(np.zeros(SLOTS, np.float32), np.array([50.0, 60.0]))
-    rows = [np.frombuffer(x, np.int32) for x in got["slots"].to_pylist()]
-    # Sorted, so that the fit doesn't depend on the order in which rows arrive; equal rows share a fold.
-    keys = [hashlib.md5(r.tobytes()).digest() for r in rows]
-    order = sorted(range(len(rows)), key=lambda i: (grades[i], keys[i]))
-    rows, toxic = [rows[i] for i in order], grades[order].astype(np.int64)
-    folds = np.array([keys[i][0] % FOLDS for i in order])
-    slots = np.concatenate(rows).astype(np.int64)
-    first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    return learn(slots, first, toxic, folds)
+    folded = bool(counts.rows.all())
+    if folded:
+        order = [counts.ranked(k)[: SIZES[-1]] for k in (*range(FOLDS), None)]
+    else:
+        order = [_counted(rows, 1).ranked(min_rows=1)[: SIZES[-1]]]
+    wanted = np.zeros(SLOTS, bool)
+    wanted[np.concatenate(order)] = True
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted)  # SLOTS bytes
+
+    def narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists_ = batch.column("slots")
+        flat, offsets = lists_.flatten().to_numpy(), lists_.offsets.to_numpy() - lists_.offsets[0].as_py()
+        hit = wanted.value[flat]
+        upto = np.concatenate([[0], np.cumsum(hit)])[offsets]
+        columns = {c: batch.column(c) for c in ("grade", "fold", "name")}
+        return pa.RecordBatch.from_pydict(columns | {"slots": lists(pa.array(flat[hit]), upto)})
+
+    # Sorted, so that the fit doesn't depend on the order in which rows arrive.
+    got = map_batches(rows, narrow, schema).toArrow().sort_by([("grade", "ascending"), ("name", "ascending")])
+    wanted.unpersist()
+    slots = got["slots"].combine_chunks().flatten().to_numpy().astype(np.int64)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in got["slots"]])])
+    toxic = got["grade"].to_numpy().astype(np.int64)
+    if not folded:
+        return fit(*_only(slots, first, order[0]), toxic, 2)
+    return learn(slots, first, toxic, got["fold"].to_numpy(), order)
 
 
 def severity(docs: DataFrame, model: Ordinal, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
