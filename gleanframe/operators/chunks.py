@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.functions.chunking import chunk_bounds, slice_all
@@ -85,6 +85,33 @@ def bounds_drift(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def chunk_marks(texts: DataFrame) -> DataFrame:
+    """Chunk rows with a fingerprint of their text, to be kept beside the bounds."""
+    return texts.select("file", "chunknumber", "start", "end", F.md5(F.col("chunk_text").cast("binary")).alias("mark"))
+
+
+def chunk_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(file, mark, old_chunk, new_chunk, change)`` between two tables of :func:`chunk_marks`.
+
+    Chunks of a file with equal text are aligned one by one in order: ``kept`` at the same
+    number, ``moved`` at another; both keep their results.  The rest is ``gone`` or ``new``, so an
+    edit that leaves the length alone is found too.  Only fingerprints are shuffled.
+    """
+    same = Window.partitionBy("file", "mark").orderBy("chunknumber")
+
+    def numbered(marks: DataFrame, name: str) -> DataFrame:
+        return marks.select("file", "mark", F.row_number().over(same).alias("k"), F.col("chunknumber").alias(name))
+
+    change = (
+        F.when(F.col("old_chunk").isNull(), "new")
+        .when(F.col("new_chunk").isNull(), "gone")
+        .when(F.col("old_chunk") == F.col("new_chunk"), "kept")
+        .otherwise("moved")
+    )
+    both = numbered(old, "old_chunk").join(numbered(new, "new_chunk"), ["file", "mark", "k"], "full")
+    return both.select("file", "mark", "old_chunk", "new_chunk", change.alias("change"))
+
+
 def known_files(chunks: DataFrame) -> DataFrame:
     return chunks.select("file").distinct()
 

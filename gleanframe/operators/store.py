@@ -79,7 +79,11 @@ class Store:
         of a file are written by one task, so a file is registered wholly or not at all.
         """
         if self.has_chunks():
-            documents = documents.join(known_files(self.chunks()), "file", "left_anti")
+            # Names first: texts are neither shuffled nor read where nothing is new.
+            names = documents.select("file").join(known_files(self.chunks()), "file", "left_anti")
+            if names.isEmpty():
+                return
+            documents = documents.join(names.distinct(), "file", "left_semi")
         self._append_chunks(documents, size)
 
     def register_batch(self, documents: DataFrame, size: int | None = None) -> None:

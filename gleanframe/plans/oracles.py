@@ -184,6 +184,15 @@ RAW = f"""{DOCS}, raw AS (
 
 COLUMN_LIST = ", ".join(COLUMNS)
 
+# Every document before and after an edit, under a name of its own.
+VERSIONS = """docs AS (
+  SELECT version || ':' || source || '/' || doc_id AS file, source, lang, doc_id, content, length(content) AS n
+  FROM (SELECT *, 'old' AS version, text AS content FROM documents UNION ALL
+        SELECT *, 'new', CASE doc_id % 10 WHEN 0 THEN substr(text, 1, length(text) // 2)
+          WHEN 1 THEN text || ' One more sentence.' WHEN 2 THEN '#' || substr(text, 2) ELSE text END
+        FROM documents)
+)"""
+
 ORACLES: dict[str, str] = {
     "chunk_bounds": chunks(' SELECT file, chunknumber, start, "end" FROM chunks'),
     "chunk_text": chunks(" SELECT file, chunknumber, chunk_text FROM chunks"),
@@ -221,6 +230,22 @@ ORACLES: dict[str, str] = {
           FROM chunks c JOIN changed d ON d.file = c.file GROUP BY c.file
           HAVING max(c."end") <> length(any_value(d.content))"""
     ),
+    "failure_rate_stream": f"""WITH {LOG}, days AS (
+        SELECT date_trunc('day', ts) AS window_start, run_tag, count(*) AS attempts,
+          count(*) FILTER (NOT success) AS failures FROM log GROUP BY ALL)
+      SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, run_tag, attempts, failures,
+        failures / attempts AS failure_rate
+      FROM days WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM log)""",
+    "chunk_changes": chunks(
+        """, marks AS (
+          SELECT split_part(file, ':', 1) AS version, split_part(file, ':', 2) AS file, chunknumber, md5(chunk_text) AS mark,
+            row_number() OVER (PARTITION BY file, md5(chunk_text) ORDER BY chunknumber) AS k FROM chunks)
+        SELECT coalesce(o.file, w.file) AS file, coalesce(o.mark, w.mark) AS mark, o.chunknumber AS old_chunk,
+          w.chunknumber AS new_chunk, CASE WHEN o.file IS NULL THEN 'new' WHEN w.file IS NULL THEN 'gone'
+            WHEN o.chunknumber = w.chunknumber THEN 'kept' ELSE 'moved' END AS change
+        FROM (SELECT * FROM marks WHERE version = 'old') o FULL JOIN (SELECT * FROM marks WHERE version = 'new') w
+          ON o.file = w.file AND o.mark = w.mark AND o.k = w.k"""
+    ).replace(DOCS, VERSIONS),
     "known_files": f"WITH {DOCS} SELECT file FROM docs WHERE n > 0",
     "active_files": f"""WITH {DOCS} SELECT file FROM docs
       WHERE n > 0 AND doc_id IN (SELECT doc_id FROM labels)""",

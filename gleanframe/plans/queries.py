@@ -52,6 +52,7 @@ from gleanframe.sources.documents import (
 )
 from gleanframe.sources.exports import read_export
 from gleanframe.streaming.ingest import ingest
+from gleanframe.streaming.monitor import failure_rate, monitor
 
 
 
@@ -570,6 +571,36 @@ def stream_ingest(spark, sf_dir):
     return store.chunks()
 
 
+def failure_rate_stream(spark, sf_dir):
+    """The event log read as a stream: failures per day and tag, of the days that are over."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    log = stream.select(
+        "ts", (F.col("event_type") != "error").alias("success"),
+        F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("run_tag"),
+    )
+    folder = shared_folder(spark)
+    rates = failure_rate(log, F.col("ts"))
+    monitor(rates, f"{folder}/rates", f"{folder}/progress").awaitTermination()
+    found = spark.read.schema(rates.schema).parquet(f"{folder}/rates")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+def chunk_changes(spark, sf_dir):
+    """Chunks of all documents against those of edited ones: cut short, lengthened, or a letter replaced."""
+    documents = corpus(spark, sf_dir)
+    text, n = F.col("content"), F.length("content")
+    edited = (
+        F.when(doc_id() % 10 == 0, F.substring(text, F.lit(1), F.floor(n / 2).cast("int")))
+        .when(doc_id() % 10 == 1, F.concat(text, F.lit(" One more sentence.")))
+        .when(doc_id() % 10 == 2, F.concat(F.lit("#"), F.substring(text, F.lit(2), n)))
+        .otherwise(text)
+    )
+    changed = from_table(documents, F.col("file"), edited)
+    old, new = (C.chunk_marks(C.chunk_texts(d, CHUNK_SIZE)) for d in (documents, changed))
+    return C.chunk_changes(old, new)
+
+
 # Queries whose function would hide the operator it calls carry the operator's name here.
 RENAMED = {
     "request_payloads": "request_payload",
@@ -593,6 +624,6 @@ QUERIES = {
         run_compare, label_agreement, external_labels, error_triage, fill_rate,
         value_distribution, typed_results, na_rate, rule_violations, quote_grounding,
         replay_parse, results_export, filter_results, top_results,
-        doc_routing, text_normalize, doc_status, pages_to_text, stream_ingest,
+        doc_routing, text_normalize, doc_status, pages_to_text, stream_ingest, failure_rate_stream, chunk_changes,
     )
 }
