@@ -175,16 +175,28 @@ class Counts(NamedTuple):
         return self.slots[order[: int((worth >= 0).sum())]]
 
 
+def _count_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Features of a batch with their rows of each label and fold (``cell``)."""
+    column = batch.column("slots")
+    cell = batch.column("grade").to_numpy().astype(np.int64) * FOLDS + batch.column("fold").to_numpy()
+    pairs = np.repeat(cell, np.diff(column.offsets.to_numpy())) * SLOTS + column.flatten().to_numpy()
+    pairs, times = np.unique(pairs, return_counts=True)
+    return pa.RecordBatch.from_pydict({
+        "cell": pa.array((pairs // SLOTS).astype(np.int32)), "slot": pa.array((pairs % SLOTS).astype(np.int32)),
+        "n": pa.array(times.astype(np.int64)),
+    })
+
+
 def _counted(rows: DataFrame, min_rows: int) -> Counts:
     """Counts over the labelled rows; the driver gets a row per feature of ``min_rows`` rows, ``SLOTS`` at most."""
-    cells = [(g, k) for g in (0, 1) for k in range(FOLDS)]
-    inside = [F.count_if((F.col("grade") == g) & (F.col("fold") == k)).alias(f"c{g}_{k}") for g, k in cells]
-    sizes = rows.agg(*inside).first()
-    held = rows.select("grade", "fold", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"), *inside)
-    got = held.where(F.col("n") >= min_rows).drop("n").toArrow()
+    cells = range(2 * FOLDS)
+    sizes = rows.agg(*[F.count_if(F.col("grade") * FOLDS + F.col("fold") == c).alias(f"c{c}") for c in cells]).first()
+    counted = map_batches(rows.select("grade", "fold", "slots"), _count_batch, "cell int, slot int, n long")
+    inside = [F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in cells]
+    got = counted.groupBy("slot").agg(F.sum("n").alias("n"), *inside).where(F.col("n") >= min_rows).drop("n").toArrow()
     shape = lambda values: np.array(values).reshape(2, FOLDS, -1)
-    holding = shape([got[f"c{g}_{k}"].to_numpy() for g, k in cells])
-    return Counts(got["slot"].to_numpy(), holding, shape([sizes[f"c{g}_{k}"] for g, k in cells])[:, :, 0])
+    holding = shape([got[f"c{c}"].to_numpy() for c in cells])
+    return Counts(got["slot"].to_numpy(), holding, shape([sizes[f"c{c}"] for c in cells])[:, :, 0])
 
 
 def _only(slots: np.ndarray, first: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
