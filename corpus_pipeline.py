@@ -31,7 +31,11 @@ def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of a toxic grade is below the operator's limit."""
+    """Documents whose probability of a toxic grade is below the operator's limit.
+
+    A null or empty text has no toxic feature and stays.  Repeated rows are judged alike, null
+    ids like any other; without labels of both kinds all rows stay.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     graded = toxicity.severity(docs, model, DOCUMENT_COLUMNS)
     return graded.where(~F.col("toxic")).select(*DOCUMENT_COLUMNS)
@@ -51,13 +55,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Rows are told apart by id and text, so rows of one id with other texts stay.  Null and
+    empty texts hold nothing and stay, and so do all rows where there are no items.
+    """
     found = kept(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(*KEY).distinct())
     return _matching(_keyed(docs), found, "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Documents without words have size zero and are taken as the mix says.  Rows alike in id,
+    text and source are interchangeable; a null source is a source of its own.
+    """
     mix = mixing.mixed(docs).where("copies > 0")
     taken = mix.select(*KEY, F.col("copies"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"))
     # Rows alike in id, text and source are interchangeable; each is matched once.
@@ -75,7 +87,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The files' description of every document, read back from them."""
+    """The files' description of every document, read back from them.
+
+    A null or empty text has its end id only; rows of equal or null id follow one another.
+    """
     return tokens.token_table(docs, TOKENIZER)
 
 
