@@ -8,15 +8,21 @@ article too, and everything else fills a slot.  Slots in menus, notices, forms a
 told by element and class names, hold no main text; of the others, those inside an article
 or main element come first, and the rest is the text only of pages without them.
 
+Inside an article a class name counts only as a whole ("related-work" is not "related"),
+and a name that articles use for their own parts too counts only for blocks that are
+mostly links.  Repeated notices without such names are the template's to find.
+
 Occurrence vectors are compared by an exclusive-or over pages of a hash of (page, count),
 an aggregate that is combined before the shuffle, so a host with a third of all pages is
-never gathered.
+never gathered.  The hash of a token includes its host and its path, and that of a path
+the hash of the path above, so tokens move as numbers, whatever the depth of a page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -49,6 +55,13 @@ APART_WORDS = frozenset(
     "reply replies discussion disqus respond login signup search pagination pager banner complementary contentinfo "
     "masthead topbar".split()
 )
+# Words that may stand beside those in a whole class name.
+NEUTRAL_WORDS = frozenset(
+    "area bar block body box button buttons container content form group inner item items left link links list main outer "
+    "panel right section site text thread title top user wrap wrapper".split()
+)
+# Of the words above, those that articles use for their own parts too.
+DOUBTFUL_WORDS = frozenset("alert discussion disclaimer menu notice notices reply related recommended search social".split())
 HEADERS = frozenset(["header"])
 MAIN = frozenset(["article", "main"])
 
@@ -57,30 +70,35 @@ _TAG = re.compile(
     r"(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z))",
     re.DOTALL,
 )
-_ATTR = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element(NamedTuple):
     name: str
-    path: str
+    path: int
     apart: bool
     main: bool
-
-
-ROOT = Element("", "", False, False)
+    doubtful: bool
 
 
 class Block(NamedTuple):
-    path: str
+    token: int
     text: str
     main: bool
 
 
-def _labels(attrs: str) -> tuple[str, set[str], bool]:
-    """First class name, the words of class, id and role, and whether it is hidden."""
-    first, words, hidden = "", set(), bool(_HIDDEN.search(attrs))
+def _key(*parts: object) -> int:
+    value = xxhash.xxh3_64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"))
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _labels(attrs: str) -> tuple[str, list[set[str]], bool]:
+    """First class name, the words of each name in class, id and role, and whether it is hidden."""
+    first, names = "", []
+    hidden = "hidden" in attrs.lower() and bool(_HIDDEN.search(_QUOTED.sub("=", attrs)))
     for kind, *values in _ATTR.findall(attrs):
         value = next((v for v in values if v), "")
         if kind.lower() == "style":
@@ -88,27 +106,49 @@ def _labels(attrs: str) -> tuple[str, set[str], bool]:
             continue
         if kind.lower() == "class" and value:
             first = value.split()[0] if value.split() else ""
-        words |= {w.lower() for w in _WORD.findall(value)}
-    return first, words, hidden
+        names += [{w.lower() for w in _WORD.findall(name)} for name in value.split()]
+    return first, names, hidden
+
+
+def _standing(names: list[set[str]], inside: bool) -> tuple[bool, bool]:
+    """Whether an element's names set it apart, and whether they may, if its links agree."""
+    if not inside:
+        return any(words & APART_WORDS for words in names), False
+    whole = [words & APART_WORDS for words in names if words <= APART_WORDS | NEUTRAL_WORDS]
+    sure = any(words - DOUBTFUL_WORDS for words in whole)
+    return sure, not sure and any(whole)
 
 
-def parse(page: str) -> tuple[list[Block], dict[str, int], dict[str, str]]:
-    """Blocks that may hold main text, element paths with counts, and each path's parent."""
-    stack, blocks, parts = [ROOT], [], []
-    counts: dict[str, int] = {}
-    parents: dict[str, str] = {}
+def parse(page: str, host: str = "") -> tuple[list[Block], dict[int, tuple[int, int]]]:
+    """Blocks that may hold main text, and how often each element path occurs, with the path above it."""
+    stack, blocks, parts = [Element("", _key(host), False, False, False)], [], []
+    opened: Counter[str] = Counter()
+    paths: dict[int, tuple[int, int]] = {}
+    linked, in_link = 0, False
 
     def close_block() -> None:
+        nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
-        if text and not stack[-1].apart:
-            blocks.append(Block(stack[-1].path, text, stack[-1].main))
-
-    def leave(name: str) -> None:
+        top = stack[-1]
+        if text and not top.apart and not (top.doubtful and 2 * linked >= len(text)):
+            blocks.append(Block(_key(top.path, text), text, top.main))
+        linked = 0
+
+    def leave(name: str, inside: frozenset[str] = frozenset()) -> None:
+        """Close the nearest open element of a name, and all in it, unless one of ``inside`` is nearer."""
+        if not opened[name]:
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].name == name:
+                opened.subtract(e.name for e in stack[depth:])
                 del stack[depth:]
                 return
+            if stack[depth].name in inside:
+                return
+
+    def count(path: int, above: int) -> None:
+        paths[path] = (above, paths.get(path, (0, 0))[1] + 1)
 
     at = 0
     while True:
@@ -116,17 +156,20 @@ def parse(page: str) -> tuple[list[Block], dict[str, int], dict[str, str]]:
         text = page[at : found.start()] if found else page[at:]
         if text and not stack[-1].apart:
             parts.append(entities.unescape(text))
+            linked += len(parts[-1].strip()) if in_link else 0
         if not found:
             break
         at = found.end()
         if not found["name"]:
             continue
         name = found["name"].lower()
+        if name == "a":
+            in_link = not found["close"]
+            continue
         if found["close"]:
             if name in BLOCK:
                 close_block()
-            if name != "p" or any(e.name == "p" for e in stack):
-                leave(name) if name in BLOCK else None
+                leave(name)
             continue
         if name == "br":
             parts.append(" ")
@@ -134,121 +177,108 @@ def parse(page: str) -> tuple[list[Block], dict[str, int], dict[str, str]]:
         if name in RAW and not found["attrs"].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
-            path = f"{stack[-1].path}/{name}"
+            count(_key(stack[-1].path, name), stack[-1].path)
         elif name in BLOCK:
             close_block()
             for same in ENDS_ITSELF.get(name, ()):
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].name == same:
-                        del stack[depth:]
-                        break
-                    if stack[depth].name in CONTAINERS:
-                        break
+                leave(same, CONTAINERS)
             if name in CONTAINERS or name[0] == "h" and name[1:].isdigit():
-                leave("p") if any(e.name == "p" for e in stack) else None
-            label, words, hidden = _labels(found["attrs"])
+                leave("p")
+            label, names, hidden = _labels(found["attrs"])
             up = stack[-1]
-            path = f"{up.path}/{name}" + (f".{label}" if label else "")
-            named = bool(words & APART_WORDS) and name not in ("html", "body", "main")
-            heading = (name in HEADERS or "header" in words and name not in ("html", "body")) and not up.main
-            apart = up.apart or name in APART or named or hidden or heading
+            path = _key(up.path, f"{name}.{label}" if label else name)
+            named, doubtful = _standing(names, up.main) if name not in ("html", "body", "main") else (False, False)
+            heading = name in HEADERS or name not in ("html", "body") and any("header" in words for words in names)
+            apart = up.apart or name in APART or named or hidden or heading and not up.main
             main = (up.main or name in MAIN) and not apart
             if name not in VOID:
-                stack.append(Element(name, path, apart, main))
-        else:
-            continue
-        counts[path] = counts.get(path, 0) + 1
-        parents[path] = path.rpartition("/")[0]
+                stack.append(Element(name, path, apart, main, up.doubtful or doubtful))
+                opened[name] += 1
+            count(path, up.path)
     close_block()
-    return blocks, counts, parents
-
-
-def _key(*parts: str) -> int:
-    value = xxhash.xxh3_64_intdigest("\x00".join(parts))
-    return value - (1 << 64) if value >> 63 else value
+    return blocks, paths
 
 
-TOKEN = pa.struct([("token", pa.int64()), ("parent", pa.int64()), ("n", pa.int32()), ("element", pa.bool_())])
-BLOCK_TYPE = pa.struct([("token", pa.int64()), ("text", pa.string()), ("main", pa.bool_())])
+BLOCK_TYPE = pa.struct([("token", pa.int64()), ("text", pa.string()), ("main", pa.bool_()), ("n", pa.int32())])
+PATH_TYPE = pa.struct([("token", pa.int64()), ("above", pa.int64()), ("n", pa.int32())])
 
 
 def _parse_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    keys, blocks, tokens = [], [], []
-    for page in batch.column("html").to_pylist():
-        found, counts, parents = parse(page or "")
-        keys.append(_key(page or ""))
-        texts = [(_key(b.path, b.text), b.text, _key(b.path), b.main) for b in found]
-        blocks.append([{"token": k, "text": t, "main": main} for k, t, _, main in texts])
-        row = [{"token": _key(p), "parent": _key(parents[p]), "n": n, "element": True} for p, n in counts.items()]
-        own: dict[tuple[int, int], int] = {}
-        for k, _, parent, _ in texts:
-            own[k, parent] = own.get((k, parent), 0) + 1
-        row += [{"token": k, "parent": parent, "n": n, "element": False} for (k, parent), n in own.items()]
-        tokens.append(row)
-    columns = {name: batch.column(name) for name in ("page_id", "url", "host")}
+    keys, blocks, paths = [], [], []
+    for page, host in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist()):
+        found, counts = parse(page or "", host)
+        keys.append(_key(host, page or ""))
+        # A text's count stands at its first block; the page's other blocks with it have 0.
+        times = Counter(b.token for b in found)
+        blocks.append([{**b._asdict(), "n": times.pop(b.token, 0)} for b in found])
+        paths.append([{"token": t, "above": above, "n": n} for t, (above, n) in counts.items()])
+    columns = {name: batch.column(name) for name in ("page_id", "url")}
     columns |= {"key": pa.array(keys, pa.int64())}
-    columns |= {"blocks": pa.array(blocks, pa.list_(BLOCK_TYPE)), "tokens": pa.array(tokens, pa.list_(TOKEN))}
+    columns |= {"blocks": pa.array(blocks, pa.list_(BLOCK_TYPE)), "paths": pa.array(paths, pa.list_(PATH_TYPE))}
     return pa.RecordBatch.from_pydict(columns)
 
 
 PARSED = (
-    "page_id long, url string, host string, key long, blocks array<struct<token: bigint, text: string, main: boolean>>, "
-    "tokens array<struct<token: bigint, parent: bigint, n: int, element: boolean>>"
+    "page_id long, url string, key long, blocks array<struct<token: bigint, text: string, main: boolean, n: int>>, "
+    "paths array<struct<token: bigint, above: bigint, n: int>>"
 )
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Blocks and tokens of every page.  Pages without a url share the host ''."""
+    """Blocks and paths of every page, with a row number.  Pages without a url share the host ''."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[a-zA-Z]+://([^/?#]*)", 1), F.lit("")))
     columns = pages.select(
         F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), F.col("html").cast("string")
     )
-    return map_batches(columns, _parse_batch, PARSED)
+    return map_batches(columns, _parse_batch, PARSED).withColumn("row", F.monotonically_increasing_id())
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Tokens of valid classes: ``(host, token, element, class, support)``.
+    """Tokens of valid classes: ``(token, class, support, above)``; ``above`` is null for texts.
 
     A page counts once however often its row is repeated.
     """
-    one = pages.select("host", "key", F.explode("tokens").alias("t")).select("host", "key", "t.*")
-    vector = F.bit_xor(F.xxhash64("key", "n"))
-    tokens = one.distinct().groupBy("host", "token", "parent", "element").agg(
-        vector.alias("class"), F.count("*").alias("support")
+    first = pages.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("rows"))
+    again = pages.select("key", "row").join(first.where("rows > 1").drop("rows"), ["key", "row"], "left_anti")
+    again = again.join(first.where("rows > 1").select("key"), "key", "left_semi").select("row")
+    texts = F.transform("blocks", lambda b: F.struct(b["token"].alias("token"), F.lit(None).cast("long").alias("above"), b["n"].alias("n")))
+    all_ = F.concat("paths", F.filter(texts, lambda t: t["n"] > 0))
+    one = pages.join(again, "row", "left_anti").select("key", F.inline(all_))
+    tokens = one.groupBy("token").agg(
+        F.bit_xor(F.xxhash64("key", "n")).alias("class"), F.count("*").cast("int").alias("support"), F.max("above").alias("above")
     )
-    tokens = tokens.where(F.col("support") >= MIN_SUPPORT)
-    # The class of each token's parent; the paths of a host are few beside its pages.
-    upper = tokens.where("element").select("host", F.col("token").alias("parent"), F.col("class").alias("outer"))
-    nested = tokens.join(upper, ["host", "parent"], "left").withColumn(
+    tokens = kept(tokens.where(F.col("support") >= MIN_SUPPORT))
+    # The class of each path's parent; the paths of a host are few beside its pages.
+    upper = tokens.where("above is not null").select(F.col("token").alias("above"), F.col("class").alias("outer"))
+    nested = tokens.join(upper, "above", "left").withColumn(
         "outer", F.when(F.col("outer") != F.col("class"), F.col("outer"))
     )
-    classes = nested.groupBy("host", "class").agg(
-        F.count("*").alias("size"), F.max("element").alias("has_element"),
-        F.min(F.when(F.col("element"), F.col("outer"))).alias("first"),
-        F.max(F.when(F.col("element"), F.col("outer"))).alias("last"),
+    classes = nested.groupBy("class").agg(
+        F.count("*").alias("size"), F.count("above").alias("paths"),
+        F.min("outer").alias("first"), F.max("outer").alias("last"),
     )
-    valid = classes.where("size > 1 and has_element and (first is null or first = last)")
-    return tokens.join(valid.select("host", "class"), ["host", "class"], "left_semi")
+    valid = classes.where("size > 1 and paths > 0 and (first is null or first = last)")
+    return tokens.join(valid.select("class"), "class", "left_semi")
 
 
 def template_texts(pages: DataFrame) -> DataFrame:
-    """``(host, key, gone)``: per page the tokens of its texts that are the template's own.
+    """``(row, gone)``: per page the tokens of its texts that are the template's own.
 
     Pages that are copies of each other have all their texts in common; a text is a
     template's own only if some page with it has other text besides.
     """
-    own = templates(pages).where("not element").select("host", "token").distinct().withColumn("own", F.lit(True))
-    tokens = F.array_distinct(F.transform("blocks", lambda b: b["token"]))
-    texts = pages.select("host", "key", F.explode(tokens).alias("token")).join(own, ["host", "token"], "left")
-    per_page = texts.groupBy("host", "key").agg(
-        F.collect_set(F.when(F.col("own"), F.col("token"))).alias("gone"), F.max(F.col("own").isNull()).alias("filled")
+    own = templates(pages).where("above is null").select("token")
+    texts = F.filter("blocks", lambda b: b["n"] > 0)
+    tokens = pages.select("row", F.size(texts).alias("texts"), F.explode(F.transform(texts, lambda b: b["token"])).alias("token"))
+    per_page = tokens.join(own, "token", "left_semi").groupBy("row").agg(
+        F.collect_list("token").alias("gone"), F.max("texts").alias("texts")
     )
-    per_page = kept(per_page.where(F.size("gone") > 0))
-    filled = per_page.where("filled").select("host", "key", "gone")
-    sure = filled.select("host", F.explode("gone").alias("token")).distinct()
-    whole = per_page.where("not filled").select("host", "key", F.explode("gone").alias("token"))
-    whole = whole.join(sure, ["host", "token"], "left_semi").groupBy("host", "key")
-    return filled.unionByName(whole.agg(F.collect_set("token").alias("gone")))
+    per_page = kept(per_page.select("row", "gone", (F.col("texts") > F.size("gone")).alias("filled")))
+    filled = per_page.where("filled").select("row", "gone")
+    sure = filled.select(F.explode("gone").alias("token")).distinct()
+    whole = per_page.where("not filled").select("row", F.explode("gone").alias("token"))
+    whole = whole.join(sure, "token", "left_semi").groupBy("row")
+    return filled.unionByName(whole.agg(F.collect_list("token").alias("gone")))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -259,8 +289,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     inside an article, or of all slots without one, less the template's own texts, which
     takes a host with at least ``MIN_SUPPORT`` different pages.
     """
-    all_ = kept(parsed(pages))
-    rows = all_.drop("tokens").join(template_texts(all_), ["host", "key"], "left")
+    all_ = kept(parsed(pages), "zstd")
+    rows = all_.select("page_id", "url", "row", "blocks").join(template_texts(all_), "row", "left")
     slots = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("gone", b["token"]), F.lit(False)))
     rows = rows.select("page_id", "url", slots.alias("slots")).withColumn("inside", F.filter("slots", lambda b: b["main"]))
     best = F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("slots"))

@@ -23,11 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(frame: DataFrame) -> DataFrame:
+def kept(frame: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it again, which cuts its lineage."""
     spark = frame.sparkSession
     path = shared_folder(spark)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=codec)
     return spark.read.schema(frame.schema).parquet(path)
 
 

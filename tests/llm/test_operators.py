@@ -19,6 +19,7 @@ from gleanframe.llm.queries import QUERIES, TOKENIZER
 from gleanframe.llm.tables import DOCUMENT_COLUMNS, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PAGES = "page_id long, url string, html string"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, id string"
 LONG = " ".join(f"word{i % 701} and{i % 13}" for i in range(30_000))
 ROWS = [
@@ -159,6 +160,49 @@ def test_template_texts_inside_articles_go(spark):
     assert {r.page_id: r.text for r in found.collect()} == expected
 
 
+def test_class_names_inside_articles(spark):
+    """Whole names count, names of an article's own parts only where the links agree."""
+    blocks = {
+        "<section class='related-work'>Prior art</section>": "Prior art",
+        "<p class='notice-period'>Three months</p>": "Three months",
+        "<div id='comment-on-kant'>On Kant</div>": "On Kant",
+        "<section class='discussion'>We discuss <a href='x'>it</a> at length</section>": "We discuss it at length",
+        "<div title='a hidden truth' data-id='ad'>Plain</div>": "Plain",
+        "<div class='related'><a href='x'>One</a> <a href='y'>Two</a></div>": "",
+        "<div class='comment-list'><p>First!</p></div>": "",
+        "<div class='cookie-notice'>We bake</div>": "",
+        "<div hidden>Unseen</div>": "",
+    }
+    rows = [(i, f"http://h{i}.example/", f"<body><article>{b}</article></body>") for i, b in enumerate(blocks)]
+    rows.append((99, "http://other.example/", "<body><div class='related-work'>x</div><div>y</div></body>"))
+    found = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {**dict(enumerate(blocks.values())), 99: "y"}
+
+
+def test_pages_on_awkward_rows(spark):
+    """Repeated rows, nulls, clashing columns, a long and a deep page, an empty table."""
+    page = "<body><div>Top</div><article><p>Story {}</p></article><div>End</div></body>"
+    long = "<body><article>" + "".join(f"<p>part {i}</p>" for i in range(50_000)) + "</article></body>"
+    deep = "<div>" * 20_000 + "end"
+    rows = [(1, "http://h/", page.format(1))] * 3 + [(None, None, page.format(2)), (2, "http://h/", None), (3, None, "")]
+    rows += [(4, "http://h/", long), (5, "http://h/", deep), (6, "x" * 9000, "<<p a=\"'>& &amp; &#0;\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"))]
+    schema = PAGES + ", key long, row string, class string, token long, blocks string"
+    frame = spark.createDataFrame([(*r, 1, "a", "b", 2, "c") for r in rows], schema)
+    found = html.main_text(frame.repartition(3)).collect()
+    texts = collections.Counter((r.page_id, r.text) for r in found if r.page_id not in (4, 6))
+    assert texts == {(1, "Story 1"): 3, (None, "Story 2"): 1, (2, ""): 1, (3, ""): 1, (5, "end"): 1}
+    assert [r.n_chars for r in found if r.page_id == 4] == [sum(len(f"part {i} ") for i in range(50_000)) - 1]
+    assert len(found) == len(rows) and html.main_text(frame.limit(0)).collect() == []
+
+
+def test_repeated_pages_count_once(spark):
+    """Two different pages are no template, however often their rows are repeated."""
+    page = "<body><article><h1>Title {0}</h1><p>Shared line</p></article></body>"
+    rows = [(i, "http://h/", page.format(i % 2)) for i in range(8)]
+    found = html.main_text(spark.createDataFrame(rows, PAGES)).collect()
+    assert {r.page_id: r.text for r in found} == {i: f"Title {i % 2} Shared line" for i in range(8)}
+
+
 def test_toxicity_on_held_out_labels(spark):
     """A fifth of the labels, told by their ids, is kept from the fit."""
     sf_dir = "/root/testdata/sf0.1"
