@@ -238,12 +238,12 @@ def templates(pages: DataFrame) -> DataFrame:
 
     A page counts once however often its row is repeated.
     """
-    first = pages.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("rows"))
-    again = pages.select("key", "row").join(first.where("rows > 1").drop("rows"), ["key", "row"], "left_anti")
-    again = again.join(first.where("rows > 1").select("key"), "key", "left_semi").select("row")
+    first = pages.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("rows")).where("rows > 1")
+    again = pages.select("key", "row").join(first.select("key", F.col("row").alias("first")), "key").where("row != first")
     texts = F.transform("blocks", lambda b: F.struct(b["token"].alias("token"), F.lit(None).cast("long").alias("above"), b["n"].alias("n")))
-    all_ = F.concat("paths", F.filter(texts, lambda t: t["n"] > 0))
-    one = pages.join(again, "row", "left_anti").select("key", F.inline(all_))
+    one = pages.select("key", "row", F.concat("paths", F.filter(texts, lambda t: t["n"] > 0)).alias("tokens"))
+    # Written first, so that its size decides how it is joined; texts don't take part.
+    one = one.join(kept(again.select("row")), "row", "left_anti").select("key", F.inline("tokens"))
     tokens = one.groupBy("token").agg(
         F.bit_xor(F.xxhash64("key", "n")).alias("class"), F.count("*").cast("int").alias("support"), F.max("above").alias("above")
     )
