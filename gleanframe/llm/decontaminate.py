@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.llm.tables import kept, key_filter, map_batches, maybe
-from gleanframe.llm.words import Words, lists, mix, shingles, signed, word_hashes, words
+from gleanframe.llm.words import Words, lists, mix, shingles, signed, trimmed, word_hashes, words
 
 NGRAM = 3
 # Smith-Waterman scores, and the least share of an item's perfect score that is a leak.
@@ -36,14 +36,8 @@ _TRIM = np.isin(np.arange(256), list(b".,;:!?\"'()[]{}"))
 
 
 def _plain(texts: pa.Array) -> Words:
-    """Lower-cased words without punctuation at their ends; code points stay in place."""
-    w = words(pc.utf8_lower(texts))
-    starts, ends = w.starts.copy(), w.ends.copy()
-    if len(starts):
-        for _ in range(4):
-            starts += (starts < ends - 1) & _TRIM[w.data[starts]]
-            ends -= (starts < ends - 1) & _TRIM[w.data[ends - 1]]
-    return w._replace(starts=starts, ends=ends)
+    """Lower-cased words without punctuation at their ends, however much; code points stay in place."""
+    return trimmed(words(pc.utf8_lower(texts)), _TRIM)
 
 
 def _ngrams(w: Words) -> tuple[np.ndarray, np.ndarray]:

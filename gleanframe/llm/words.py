@@ -64,6 +64,20 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
+def trimmed(w: Words, cut: np.ndarray) -> Words:
+    """Words less the ASCII characters of ``cut`` (a flag per byte) at their ends; one of these alone stays whole."""
+    edge = np.flatnonzero(cut[w.data[w.starts]] | cut[w.data[w.ends - 1]]) if len(w.starts) else ()
+    inner = np.flatnonzero(~cut[w.data]) if len(edge) else edge
+    if not len(inner):
+        return w
+    starts, ends = w.starts.copy(), w.ends.copy()
+    first = inner[np.minimum(np.searchsorted(inner, starts[edge]), len(inner) - 1)]
+    last = inner[np.maximum(np.searchsorted(inner, ends[edge]) - 1, 0)]
+    some = (first >= starts[edge]) & (first < ends[edge])
+    starts[edge[some]], ends[edge[some]] = first[some], last[some] + 1
+    return w._replace(starts=starts, ends=ends)
+
+
 def words(texts: pa.Array, lower: bool = False) -> Words:
     data, offsets = utf8(texts)
     if lower:
