@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
@@ -37,10 +38,9 @@ BASE_KINDS = ("assign", "access", "hex")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 CHECKED_PREFIXES = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_")
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])", re.ASCII)
-# A private key block, from its first to its last line.
-KEY_BLOCK = re.compile(
-    r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[A-Za-z0-9+/=\s:,-]*?-----END \1-----", re.ASCII
-)
+# The first and the last line of a private key block, and what can't stand between.
+KEY_LINE = re.compile(r"-----(BEGIN|END) ([A-Z ]*PRIVATE KEY)-----", re.ASCII)
+NOT_IN_KEY = re.compile(r"[^A-Za-z0-9+/=\s:,-]", re.ASCII)
 
 
 def base62_crc(body: str) -> str:
@@ -75,7 +75,7 @@ KINDS = (
     ),
     Kind("access", ("akia",), ACCESS, lambda m: len(m[0]) >= ACCESS_LENGTH, folded=True),
     Kind("checked", CHECKED_PREFIXES, CHECKED, lambda m: base62_crc(m[1]) == m[2], folded=True),
-    Kind("key_block", ("-----begin ",), KEY_BLOCK, lambda m: True, folded=True),
+    Kind("key_block", ("-----begin ", "-----end "), KEY_LINE, lambda m: True, folded=True),
 )
 ORDER = {name: i for i, name in enumerate((*BASE_KINDS, "checked", "key_block"))}
 
@@ -95,6 +95,31 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+def key_blocks(text: str, lines: list[re.Match]) -> list[Span]:
+    """Blocks from each first line to the next last line of the same label, if only key text is between.
+
+    A place where key text stops is looked up once for all first lines before it, so the
+    work is linear in the text, whatever lines it has.
+    """
+    ends: dict[str, list[re.Match]] = {}
+    for line in lines:
+        if line[1] == "END":
+            ends.setdefault(line[2], []).append(line)
+    blocks, over, stop = [], 0, -1
+    for line in lines:
+        if line[1] == "END" or line.start() < over or line[2] not in ends:
+            continue
+        last = ends[line[2]]
+        at = bisect_left(last, line.end(), key=re.Match.start)
+        if stop < line.end():
+            other = NOT_IN_KEY.search(text, line.end())
+            stop = other.start() if other else len(text)
+        if at < len(last) and last[at].start() <= stop:
+            over = last[at].end()
+            blocks.append((line.start(), over, "key_block"))
+    return blocks
+
+
 def scan(text: str) -> list[Span]:
     """All spans of a text as (start, end, kind), in code points, by start and kind.
 
@@ -105,13 +130,18 @@ def scan(text: str) -> list[Span]:
     raw = text.encode("utf-8", "surrogatepass")
     low = raw.translate(_LOWER).decode("utf-8", "surrogatepass")
     over: dict[str, int] = {}
+    lines: list[re.Match] = []
     for last, (length, kind) in automaton().iter(low):
         start = last + 1 - length
         if start < over.get(kind.name, 0) or not (match := kind.pattern.match(text, start)):
             continue
+        if kind.name == "key_block":
+            lines.append(match)
+            continue
         over[kind.name] = match.end()
         if kind.valid(match):
             found.append((start, match.end(), kind.name))
+    found += key_blocks(text, lines)
     # Every run of 24 hexadecimal characters holds the keyword of the class text.
     if _RUN in raw.translate(_CLASS):
         found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text) if m.end() - m.start() >= HEX_LENGTH]

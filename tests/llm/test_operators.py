@@ -6,6 +6,7 @@ import html as entities
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -126,6 +127,34 @@ def test_checksums_decide():
     assert secrets.scan("İ token=token=abcdef")[0][:2] == (2, 20)
 
 
+def test_key_blocks_as_one_pattern():
+    """As one lazy regular expression finds them, also where lines nest, overlap or lack an end."""
+    whole = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[A-Za-z0-9+/=\s:,-]*?-----END \1-----", re.ASCII)
+    parts = [f"-----{w} {k}PRIVATE KEY-----" for w in ("BEGIN", "END") for k in ("", "RSA ")] + ["-", "-----", "aB+/=\n", " ", ".", "é", "-----END "]
+    rng = np.random.default_rng(5)
+    for _ in range(20_000):
+        text = "".join(parts[i] for i in rng.choice(len(parts), int(rng.integers(1, 14)), p=[0.2, 0.1, 0.2, 0.1] + [0.4 / 7] * 7))
+        expected = [(m.start(), m.end(), "key_block") for m in whole.finditer(text)]
+        assert [s for s in secrets.scan(text) if s[2] == "key_block"] == expected, text
+
+
+def test_key_headers_without_end_take_linear_time():
+    times = []
+    for n in (2_000, 32_000):
+        begin = time.perf_counter()
+        assert not secrets.scan("-----BEGIN PRIVATE KEY-----\nabc\n" * n)
+        times.append(time.perf_counter() - begin)
+    assert times[1] < 64 * times[0]
+
+
+def test_punctuation_of_any_length_is_trimmed(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    text = " ".join(f"{'(' * i}w{i}{'.' * i}" for i in range(30)) + " ..... ......"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.item_id, r.score) for r in found] == [(7, 1.0)]
+
+
 def test_main_text(spark, sf_dir):
     expected = {}
     for row in table(spark, sf_dir, "pages").collect():
