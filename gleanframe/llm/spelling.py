@@ -14,13 +14,16 @@ the first half are found in the trie of the reversed words, which is part of the
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.llm.tables import kept, map_batches
+from gleanframe.llm.tables import cut, kept
 from gleanframe.llm.words import mix
 
 # What a word is, how often a run loses a character, and when a form is one.
@@ -29,6 +32,12 @@ LOSE_EVERY = 31
 MIN_LENGTH = 7
 MIN_COUNT = 2
 FORM_RATIO = 10
+# Words are worked on in tables of about so many bytes.
+TABLE_BYTES = 1 << 20
+PATH_SCHEMA = (
+    "word string, backward boolean, pos int, node long, ends boolean, "
+    "upto int, child long, child_ends boolean, edge boolean"
+)
 
 
 def word_counts(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
@@ -46,95 +55,122 @@ def word_counts(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int =
     return counted.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 
-def _prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Beginnings of words and of reversed words from the half of their length on.
+def _nodes(table: pa.Table) -> pa.RecordBatch:
+    """The rows of :func:`_paths` for words that share no node with words of other tables.
 
-    A beginning's hash is a sum over its characters and their places, so all of a batch
+    A beginning's hash is a sum over its characters and their places, so all of a table
     come from one running sum.
     """
-    ids, texts = batch.column("wid").to_numpy(), batch.column("word").to_pylist()
+    texts, backward = table["word"].to_pylist(), table["backward"].to_numpy()
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.array([len(t) for t in texts], np.int64)
     first = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(codes)) - first[owner]
-    out = {name: [] for name in ("wid", "backward", "pos", "node", "next")}
-    for backward in (False, True):
-        read = codes[first[owner] + sizes[owner] - 1 - place] if backward else codes
-        salt = np.uint64(2 * backward + 1) << np.uint64(60)
-        upto = np.cumsum(mix(read + (place.astype(np.uint64) << np.uint64(24)) + salt), dtype=np.uint64)
-        before = upto[first] - mix(read[first] + salt)
-        # Position p stands behind p characters; the next one is at index p.
-        least = (sizes + 1) // 2 if backward else sizes // 2
-        counts = sizes - least + 1
-        begin = np.cumsum(counts) - counts
-        row = np.repeat(np.arange(len(sizes)), counts)
-        pos = np.arange(counts.sum()) - begin[row] + least[row]
-        node = mix(upto[first[row] + pos - 1] - before[row])
-        last = pos == sizes[row]
-        after = read[np.minimum(first[row] + pos, len(read) - 1)].astype(np.int64)
-        out["wid"].append(ids[row])
-        out["backward"].append(np.full(len(row), backward))
-        out["pos"].append(pos.astype(np.int32))
-        out["node"].append(node.view(np.int64))
-        out["next"].append(np.where(last, 0, after).astype(np.int32))
-    return pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v)) for k, v in out.items()})
-
-
-def _paths(words: DataFrame) -> DataFrame:
+    salt = (2 * backward.astype(np.uint64) + np.uint64(1)) << np.uint64(60)
+    one = mix(codes + (place.astype(np.uint64) << np.uint64(24)) + salt[owner])
+    upto = np.cumsum(one, dtype=np.uint64)
+    before = upto[first] - one[first]
+    # Position p stands behind p characters; the next one is at index p.
+    least = (sizes + backward) // 2
+    counts = sizes - least + 1
+    begin = np.cumsum(counts) - counts
+    row = np.repeat(np.arange(len(sizes)), counts)
+    pos = np.arange(counts.sum()) - begin[row] + least[row]
+    node = mix(upto[first[row] + pos - 1] - before[row])
+    # A next character of zero is the end of a word.
+    after = np.where(pos == sizes[row], 0, codes[np.minimum(first[row] + pos, len(codes) - 1)].astype(np.int64))
+    order = np.argsort(node, kind="stable")
+    heads = np.flatnonzero(np.append(True, np.diff(node[order].view(np.int64)) != 0))
+    lo, hi = (f.reduceat(after[order], heads) for f in (np.minimum, np.maximum))
+    group = np.empty(len(node), np.int64)
+    group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(node))))
+    ends = (lo == 0)[group]
+    at = np.flatnonzero(ends | (lo != hi)[group])
+    # A word's last node is its end, which has no way on.
+    last = after[at] == 0
+    to = np.append(at[1:], at[-1:])
+    edge = np.zeros(len(at), bool)
+    edge[np.unique(np.where(last, np.uint64(0), node[to]), return_index=True)[1]] = True
+    return pa.RecordBatch.from_pydict(
+        {
+            "word": pa.array(texts, pa.string()).take(pa.array(row[at])),
+            "backward": pa.array(backward[row[at]]),
+            "pos": pa.array(pos[at].astype(np.int32)),
+            "node": pa.array(node[at].view(np.int64)),
+            "ends": pa.array(ends[at]),
+            "upto": pa.array(pos[to].astype(np.int32), mask=last),
+            "child": pa.array(node[to].view(np.int64), mask=last),
+            "child_ends": pa.array(ends[to], mask=last),
+            "edge": pa.array(edge & ~last),
+        }
+    )
+
+
+def _by_start(batches: Iterator[pa.RecordBatch], size: int = TABLE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by direction and start, worked on in tables that hold all words of a start."""
+    held: list[pa.RecordBatch] = []
+    for part in chain.from_iterable(cut(b) for b in batches):
+        held.append(part)
+        if sum(p.nbytes for p in held) < size:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        same = pc.and_(pc.equal(rows["start"], rows["start"][-1]), pc.equal(rows["backward"], rows["backward"][-1]))
+        whole = rows.num_rows - pc.sum(same).as_py()
+        if whole:
+            yield _nodes(rows.slice(0, whole))
+        held = rows.slice(whole).combine_chunks().to_batches()
+    if held:
+        yield _nodes(pa.Table.from_batches(held))
+
+
+def _paths(words: DataFrame, min_length: int) -> DataFrame:
     """The nodes on every word's way through the trie, with the next one.
 
-    ``(word, backward, pos, node, ends, upto, child, child_ends)``; a backward word is read
-    from its end.
+    ``(word, backward, pos, node, ends, upto, child, child_ends, edge)``; a backward word is
+    read from its end.  ``edge`` marks one of the rows with the same way on.  Words that
+    share a node share their first ``min_length // 2`` characters, so these deal out the words.
     """
-    keyed = words.select("word", F.xxhash64("word").alias("wid"))
-    begun = map_batches(keyed, _prefixes, "wid long, backward boolean, pos int, node long, next int")
-    nodes = begun.groupBy("node").agg(F.min("next").alias("lo"), F.max("next").alias("hi"))
-    # A next character of zero is the end of a word.
-    nodes = nodes.where("lo = 0 or lo <> hi").select("node", (F.col("lo") == 0).alias("ends"))
-    along = Window.partitionBy("wid").orderBy("backward", "pos")
-    lead = lambda c: F.when(F.lead("backward").over(along) == F.col("backward"), F.lead(c).over(along))
-    steps = begun.select("wid", "backward", "pos", "node").join(nodes, "node").select(
-        "*", lead("pos").alias("upto"), lead("node").alias("child"), lead("ends").alias("child_ends")
-    )
-    read = F.when(F.col("backward"), F.reverse("word")).otherwise(F.col("word"))
-    return steps.join(keyed, "wid").select(
-        read.alias("word"), "backward", "pos", "node", "ends", "upto", "child", "child_ends"
+    both = words.select("word", F.lit(False).alias("backward")).unionByName(
+        words.select(F.reverse("word").alias("word"), F.lit(True).alias("backward"))
     )
+    started = both.withColumn("start", F.substring("word", 1, min_length // 2))
+    dealt = started.repartition("backward", "start").sortWithinPartitions("backward", "start")
+    return dealt.mapInArrow(_by_start, PATH_SCHEMA)
 
 
-def _edges(paths: DataFrame) -> DataFrame:
-    label = F.expr("substring(word, pos + 1, upto - pos)")
-    return paths.where("child is not null").select(
-        "node", F.expr("substring(word, pos + 1, 1)").alias("first"), label.alias("label"), "child", "child_ends"
-    ).distinct()
+def near_pairs(words: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
+    """``(word, other)`` for any two words that differ by one edit, once in one direction.
 
-
-def near_pairs(words: DataFrame) -> DataFrame:
-    """``(word, other)`` for any two words that differ by one edit, once in one direction."""
-    paths = kept(_paths(words))
-    edges = kept(_edges(paths))
-    own, after = F.expr("substring(word, pos + 1, 1)"), F.expr("substring(word, pos + 2, 1)")
-    inside = paths.where("pos < length(word)")
-    # The last of equal characters is deleted, where the shorter word leaves the way of the longer.
-    deleted = inside.where(own != after).select(
-        "word", F.expr("concat(substring(word, 1, pos), substring(word, pos + 2))").alias("other"),
-        "backward", "pos", "node", "ends",
-    )
-    # Of two words of equal length the one with the lesser character is changed.
-    changed = inside.select("word", "backward", "pos", "node").join(edges, "node").where(F.col("first") > own)
-    changed = changed.withColumn("other", F.expr("concat(substring(word, 1, pos), first, substring(word, pos + 2))"))
-    fits = F.expr("substring(other, pos + 1, length(label)) = label")
+    No word is shorter than ``min_length``.
+    """
+    paths = kept(_paths(words, min_length), "zstd")
+    edges = paths.where("edge").select(
+        "node", F.expr("substring(word, pos + 1, 1)").alias("first"),
+        F.expr("substring(word, pos + 1, upto - pos)").alias("label"), "child", "child_ends",
+    )
+    own, rest = F.expr("substring(word, pos + 1, 1)"), F.expr("substring(word, pos + 2)")
+    inside = paths.where("pos < length(word)").select("word", "backward", "pos", "node", "ends")
+    # A word's last character is deleted.
+    found = [inside.where("ends and pos = length(word) - 1").select("word", F.expr("substring(word, 1, pos)").alias("other"), "backward")]
+    # Of two words of equal length the one with the lesser character is changed; the last of
+    # equal characters is deleted, where the shorter word leaves the way of the longer.  Both
+    # take their first edge at once.
+    changed = (F.col("first") > own) & F.startswith(rest, F.expr("substring(label, 2)"))
+    deleted = (F.col("first") != own) & F.startswith(rest, F.col("label"))
+    met = inside.join(edges.withColumnRenamed("node", "from"), (F.col("node") == F.col("from")) & (changed | deleted))
+    begin = F.expr("substring(word, 1, pos)")
+    others = F.array(F.when(changed, F.concat(begin, "first", rest)), F.when(deleted, F.concat(begin, rest)))
     moved = (
         "word", "other", "backward", (F.col("pos") + F.length("label")).alias("pos"),
         F.col("child").alias("node"), F.col("child_ends").alias("ends"),
     )
-    states = kept(deleted.unionByName(changed.where(fits).select(*moved)))
-    found = []
+    states = kept(met.withColumn("other", F.explode(F.array_compact(others))).select(*moved), "zstd")
+    fits = F.expr("substring(other, pos + 1, length(label)) = label")
     while True:
         found.append(states.where("ends and pos = length(other)").select("word", "other", "backward"))
         going = states.where("pos < length(other)").withColumn("first", F.expr("substring(other, pos + 1, 1)"))
-        states = kept(going.join(edges, ["node", "first"]).where(fits).select(*moved))
+        states = kept(going.join(edges, ["node", "first"]).where(fits).select(*moved), "zstd")
         if states.isEmpty():
             break
     pairs = found[0]

@@ -6,8 +6,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from gleanframe.llm import spelling
+from gleanframe.llm.tables import kept, table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -86,3 +88,34 @@ def test_awkward_rows(spark):
     expected = brute(rows)
     assert found(docs.repartition(3)) == expected and len(expected) > 5
     assert found(docs.limit(0)) == {}
+
+
+def test_rows_written_are_few(spark, monkeypatch):
+    """States that can't take an edge after their edit are never written, and edges not apart from the paths."""
+    written = []
+
+    def counted(frame, *options):
+        out = kept(frame, *options)
+        written.append(out.count())
+        return out
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    words = kept(spelling.word_counts(docs))
+    monkeypatch.setattr(spelling, "kept", counted)
+    pairs = spelling.near_pairs(words).count()
+    assert pairs and sum(written) < 15 * words.count()
+
+
+def test_starts_over_many_batches():
+    """Words of one start that come in many batches make the same rows as all in one."""
+    words = sorted(set(map("".join, itertools.product("abc", "ab", "ab", "ab", "xy", "word", "yz"))))
+    rows = [(w, backward, w[:3]) for backward in (False, True) for w in sorted(words)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["word", "backward", "start"])
+
+    def trie(step, size):
+        made = spelling._by_start(iter([batch.slice(i, step) for i in range(0, len(rows), step)]), size)
+        return [pa.Table.from_batches([b]).drop_columns(["edge"]).to_pylist() for b in made]
+
+    whole, small = trie(len(rows), 1 << 30), trie(7, 1)
+    assert len(whole) == 1 and len(small) > 10
+    assert [r for part in small for r in part] == whole[0]
