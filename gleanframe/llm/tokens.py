@@ -15,9 +15,10 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -116,11 +117,17 @@ _SECOND_BASE = np.uint64(0xA0761D6478BD642F)
 _PART = "\n"
 
 
-def pieces(texts: pa.Array) -> Words:
-    """Cut texts before every space that follows a character surely no white space.
+_ASCII = np.arange(256) < 0x80
+_LETTER = np.isin(np.arange(256), np.frombuffer(ascii_letters.encode(), np.uint8))
 
-    The tokenizer's own pattern never joins characters across such a place and looks only
-    ahead, so the ids of a text are those of its pieces, one after the other.
+
+def pieces(texts: pa.Array, uncut: Sequence[bytes] = ()) -> Words:
+    """Cut texts where the tokenizer's own pattern surely begins anew.
+
+    That is before a space that follows a character surely no white space, and behind an
+    ASCII letter that other ASCII follows.  The pattern never joins characters across such a
+    place and looks only ahead from white space, so the ids of a text are those of its pieces,
+    one after the other.  ``uncut`` are the tokens found before the pattern is applied.
     """
     data, offsets = utf8(texts)
     begins = np.zeros(len(data), dtype=bool)
@@ -130,6 +137,13 @@ def pieces(texts: pa.Array) -> Words:
         # Beyond ASCII: not after characters that share their lead bytes with white space.
         begins[2:] &= data[:-2] != 0xC2
         begins[3:] &= ~((data[:-3] >= 0xE1) & (data[:-3] <= 0xE3) & np.isin(data[1:-2], (0x80, 0x81, 0x9A)))
+        begins[1:] |= _LETTER[before] & (_ASCII & ~_LETTER)[data[1:]]
+        raw = data.tobytes() if uncut else b""
+        for token in uncut:
+            at = raw.find(token)
+            while at >= 0:
+                begins[at + 1 : at + len(token)] = False
+                at = raw.find(token, at + 1)
     begins[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(begins)
     ends = np.append(starts[1:], len(data))
@@ -150,6 +164,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.part = np.array(self._ids(_PART), np.uint32)
+        self.uncut = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -157,34 +172,49 @@ class Encoder:
     def _ids(self, text: str) -> array:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
-    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces, joined, and how many each has.
+    def _encode_new(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, and where those of each begin and how many it has.
 
         Pieces without inner white space are encoded as one text with a separator, which is
         a token of its own between them.
         """
-        plain = np.array([len(p[1:].split()) == 1 and len(p.split()) == 1 and p[-1] > " " for p in new], bool)
-        plain &= np.array([p.isascii() and p.isprintable() or p[1:].isalpha() for p in new], bool)
-        sizes, out = np.zeros(len(new), np.int64), [np.zeros(0, np.uint32)] * len(new)
+        lengths = w.ends - w.starts
+        begin = np.cumsum(lengths) - lengths
+        data = w.data[np.arange(lengths.sum()) + np.repeat(w.starts - begin, lengths)]
+        # Sure of every byte: visible ASCII, and U+00C0 to U+00FF; a space may come first.
+        plain = (data > 0x20) & (data < 0x7F) | (data == 0xC3)
+        plain[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80)
+        plain[begin] |= (data[begin] == 0x20) & (lengths > 1)
+        plain = np.logical_and.reduceat(plain, begin)
+        new = {i: data[begin[i] : begin[i] + lengths[i]].tobytes().decode("utf-8") for i in np.flatnonzero(~plain)}
+        for i, p in new.items():
+            plain[i] = p.removeprefix(" ").isalpha()
+        starts, sizes, out = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), []
         together = np.flatnonzero(plain)
         if len(self.part) == 1 and len(together):
-            ids = np.array(self._ids(_PART.join(new[i] for i in together)), np.uint32)
-            split = np.split(ids, np.flatnonzero(ids == self.part[0]))
-            if len(split) == len(together):
-                for k, i in enumerate(together):
-                    out[i] = split[k][1:] if k else split[k]
+            joined = np.insert(data[np.repeat(plain, lengths)], np.cumsum(lengths[together])[:-1], ord(_PART))
+            ids = np.array(self._ids(joined.tobytes().decode("utf-8")), np.uint32)
+            parts = np.flatnonzero(ids == self.part[0])
+            if len(parts) == len(together) - 1:
+                upto = np.append(parts, len(ids)) - np.arange(len(together))
+                starts[together] = np.append(0, upto[:-1])
+                sizes[together] = np.diff(upto, prepend=0)
+                out.append(np.delete(ids, parts))
             else:
                 plain[:] = False
         else:
             plain[:] = False
+        size = sum(map(len, out))
         for i in np.flatnonzero(~plain):
-            out[i] = np.array(self._ids(new[i]), np.uint32)
-        sizes[:] = [len(x) for x in out]
-        return np.concatenate(out), sizes
+            text = new.get(i) or data[begin[i] : begin[i] + lengths[i]].tobytes().decode("utf-8")
+            out.append(np.array(self._ids(text), np.uint32))
+            starts[i], sizes[i] = size, len(out[-1])
+            size += len(out[-1])
+        return np.concatenate(out), starts, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and where those of each row begin."""
-        w = pieces(texts)
+        w = pieces(texts, self.uncut)
         if not len(w.starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         keys, first, back = np.unique(word_hashes(w), return_index=True, return_inverse=True)
@@ -196,12 +226,13 @@ class Encoder:
         starts[known], sizes[known] = self.starts[at[known]], self.sizes[at[known]]
         ids, missing = self.ids, np.flatnonzero(~known)
         if len(missing):
-            new = [w.data[a:b].tobytes().decode("utf-8") for a, b in zip(some.starts[missing], some.ends[missing])]
-            parts = [self._encode_new(new[i : i + NEW_PIECES]) for i in range(0, len(new), NEW_PIECES)]
-            more = np.concatenate([part[0] for part in parts])
-            sizes[missing] = np.concatenate([part[1] for part in parts])
-            starts[missing] = len(ids) + np.cumsum(sizes[missing]) - sizes[missing]
-            ids = np.concatenate([ids, more])
+            grown = [ids]
+            for i in range(0, len(missing), NEW_PIECES):
+                new = missing[i : i + NEW_PIECES]
+                more, begin, count = self._encode_new(some._replace(starts=some.starts[new], ends=some.ends[new]))
+                starts[new], sizes[new] = sum(map(len, grown)) + begin, count
+                grown.append(more)
+            ids = np.concatenate(grown)
             if len(self.keys) + len(missing) <= CACHE_PIECES:
                 self._remember(keys[missing], checks[missing], starts[missing], sizes[missing], ids)
         each = sizes[back]

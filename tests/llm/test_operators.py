@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -109,6 +110,35 @@ def test_random_access_reads_files(spark, awkward, tmp_path):
     assert tokens.tokens_at(segments, [0, len(ids) - 1, len(ids)]) == {0: ids[0], len(ids) - 1: ids[-1], len(ids): 0}
 
 
+
+def test_token_ids_of_random_texts():
+    """Pieces have the ids that the tokenizer gives whole texts, wherever these are cut."""
+    rng = np.random.default_rng(4)
+    parts = [*"abZ don't we're", *"  \n\n\t\r\x0b\x7f\x1c\x00.,!<|>''019éßÑ×÷ÿ", "\x85", "\xa0", "\u2003", "\u3000", "日", "\u0301", "\U0001f600"]
+    parts += ["<|endoftext|>", "endoftext|>", "word", " wörd,", "'s", "\n\n"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 60)))) for _ in range(4000)]
+    texts += ["<|endof", "text|> a<|endoftext|>b", "end of text\n\n", "\n\nA", ""]
+    expected = Tokenizer.from_file(TOKENIZER)
+    one = tokens.Encoder(TOKENIZER)
+    for rows in (texts, texts[::-1]):  # the second time from memory
+        ids, first = one.encode(pa.array(rows))
+        for k, text in enumerate(rows):
+            assert ids[first[k] : first[k + 1]].tolist() == expected.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_new_pieces_are_encoded_together(monkeypatch):
+    """Accents and punctuation don't send pieces through the tokenizer one by one."""
+    calls = []
+    ids = tokens.Encoder._ids
+    monkeypatch.setattr(tokens.Encoder, "_ids", lambda self, text: calls.append(text) or ids(self, text))
+    words = [f"{a}é{b}ñ{c}" for a in "abcdefgh" for b in "ijklmn" for c in "opqrst"]
+    one = tokens.Encoder(TOKENIZER)
+    one.encode(pa.array([" ".join(words), ", ".join(words) + "."]))
+    assert len(calls) < 20
+    # A word before a comma is the same piece as before a space.
+    assert len(one.keys) < 2 * len(words)
+
+
 def test_secrets(spark, sf_dir, texts):
     for doc_id, row in rows_of(QUERIES["op5_secret_scan"](spark, sf_dir)).items():
         text = texts[doc_id]
