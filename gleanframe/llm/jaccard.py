@@ -40,6 +40,8 @@ VERIFY_COST = 1 / 16
 SKETCH = ("s0", "s1", "s2", "s3")
 SKETCH_SCHEMA = "".join(f", {name} long" for name in SKETCH)
 
+BESIDE_SCHEMA = ", prev long, next long, at long, next_lost long, next_level long"
+
 
 @dataclass(frozen=True)
 class Join:
@@ -150,6 +152,20 @@ def matches_for(hits: np.ndarray, first: np.ndarray, base: np.ndarray, n: np.nda
     return best, may
 
 
+def beside(token: np.ndarray, row: np.ndarray, ids: np.ndarray, lost: np.ndarray, level: np.ndarray) -> dict[str, np.ndarray]:
+    """Each token's place in its row and the tokens before and after; where there is none, the id, which no other row has."""
+    heads = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
+    tails = np.append(heads[1:], True) if len(row) else heads
+    at = np.arange(len(row)) - np.maximum.accumulate(np.where(heads, np.arange(len(row)), 0))
+    return {
+        "prev": np.where(heads, ids, np.roll(token, 1)),
+        "next": np.where(tails, ids, np.roll(token, -1)),
+        "at": at,
+        "next_lost": np.roll(lost, -1),
+        "next_level": np.roll(level, -1),
+    }
+
+
 def prefixes(docs: DataFrame, join: Join, ranks: np.ndarray) -> DataFrame:
     """``(doc_id, text_key, n, id, tokens, s0 ...)``: each document's set size, name, longest prefix and sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -213,9 +229,10 @@ def _buckets(sets: DataFrame, join: Join) -> DataFrame:
             "token": flat, "id": batch.column("id").to_numpy()[row], "n": n[row], "lost": lost, "level": level,
             "ell": ell[row], **{name: batch.column(name).to_numpy()[row] for name in SKETCH},
         }
-        return pa.RecordBatch.from_pydict({k: pa.array(v[use]) for k, v in out.items()})
+        out = {k: v[use] for k, v in out.items()} | beside(flat[use], row[use], out["id"][use], lost[use], level[use])
+        return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
 
-    schema = "token long, id long, n long, lost long, level long, ell long" + SKETCH_SCHEMA
+    schema = "token long, id long, n long, lost long, level long, ell long" + SKETCH_SCHEMA + BESIDE_SCHEMA
     found = map_batches(sets.where("n > 0").select("id", "n", "tokens", *SKETCH), run, schema)
     return found.distinct().join(shared, "token", "left_semi")
 
@@ -253,9 +270,9 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     sets = kept(prefixes(docs, join, shingle_ranks(docs, join)))
     buckets = kept(_buckets(sets, join))
 
-    def possible(a: str, b: str) -> Column:
+    def possible(a: str, b: str, lost: str = "lost") -> Column:
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-        bound = F.least(n - F.col(f"{a}.lost"), m - F.col(f"{b}.lost"))
+        bound = F.least(n - F.col(f"{a}.{lost}"), m - F.col(f"{b}.{lost}"))
         # Linked sets differ in few items, so their sketches differ in few bits.
         apart = reduce(add, [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH])
         near = apart * (join.num + join.den) <= (n + m) * (join.den - join.num)

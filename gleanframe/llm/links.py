@@ -5,9 +5,9 @@ with one of them, its hub, which links a group of near copies with as many pairs
 members.  Members that are then in one component need no comparison.  A group of near copies
 has members that are not near its hub but near others, so in further rounds (``rounds``) the
 bucket's members meet ``HUBS`` more from the large component and as many from outside of it,
-which leaves few of them apart.  What is left, pairs of one bucket in different components,
-is compared in full, so no link between components is lost.  Joins on tokens may be split
-where a token is frequent.
+as long as that links any.  What is left, pairs of one bucket in different components,
+is compared in full, so no link between components is lost; there a pair has a row per run of
+common tokens, not per token.  Joins on tokens may be split where a token is frequent.
 """
 
 from __future__ import annotations
@@ -40,55 +40,80 @@ def _labelled(buckets: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def links(buckets: DataFrame, possible: Callable[[str, str], Column], verify: Verify, matches: bool, rounds: int = 0) -> DataFrame:
+def token_pairs(
+    left: DataFrame, right: DataFrame, once: Column, possible: Callable[..., Column], matches: bool, runs: bool = False
+) -> DataFrame:
+    """``(a, b, ell, k)`` of pairs with common tokens; the sum of a pair's ``k`` is their number.
+
+    With ``runs`` a pair's common tokens that follow one another on both sides make no row but
+    the first and the last of them, so a pair has as many rows as it has such runs.  That takes
+    all rows of both sides, and ``prev`` and ``next``, a side's tokens before and after the row.
+    """
+    fits = (F.col("o.token") == F.col("x.token")) & once & possible("o", "x")
+    ell, k = F.lit(1), F.lit(1)
+    if matches:
+        ell = F.least("o.ell", "x.ell")
+        fits = fits & (F.col("o.level") <= ell) & (F.col("x.level") <= ell)
+    if runs:
+        begins = F.col("o.prev") != F.col("x.prev")
+        # The next token counts under the same conditions as this one.
+        beyond = (F.greatest("o.next_level", "x.next_level") > ell) | ~possible("o", "x", "next_lost")
+        stops = (F.col("o.next") != F.col("x.next")) | beyond
+        fits = fits & (begins | stops)
+        at = F.when(F.col("o.id") < F.col("x.id"), F.col("o.at")).otherwise(F.col("x.at"))
+        k = F.when(stops, at + 1).otherwise(0) - F.when(begins, at).otherwise(0)
+    return left.alias("o").join(right.alias("x"), fits).select(
+        F.least("o.id", "x.id").alias("a"), F.greatest("o.id", "x.id").alias("b"), ell.alias("ell"), k.alias("k")
+    )
+
+
+def links(buckets: DataFrame, possible: Callable[..., Column], verify: Verify, matches: bool, rounds: int = 0) -> DataFrame:
     """Linked pairs ``(a, b)`` whose components are those of all links.
 
     ``buckets`` has ``token``, ``id`` and whatever ``possible`` reads: a condition on two
-    aliased rows of a bucket that every linked pair meets.  With ``matches`` the rows carry
-    ``lost``, ``level`` and ``ell``, and a pair needs as many common tokens within both sides' first
-    ``min(ell)`` levels as the lesser ``ell``.  ``rounds`` changes the work, not the components.
+    aliased rows of a bucket that every linked pair meets.  With ``matches`` it is a written
+    table whose rows carry ``lost``, ``level``, ``ell`` and what :func:`token_pairs` needs for
+    runs, and a pair needs as many common tokens within both sides' first ``min(ell)`` levels
+    as the lesser ``ell``.  ``rounds`` changes the work, not the components.
     """
     # The hub is the member that lost least, which is near the centre of a group of copies;
     # among equals, any fixed choice.
     lost = F.least(F.col("lost"), F.lit((1 << 15) - 1)) if matches else F.lit(0).cast("long")
     rank = F.shiftleft(lost, 48) + F.shiftrightunsigned(F.xxhash64("id"), 16)
-    rows = kept(_open(buckets.withColumn("component", F.col("id")).withColumn("rank", rank)))
-    hubs = rows.groupBy("token").agg(F.min("rank").alias("rank"))
-    hub_rows = rows.join(hubs, ["token", "rank"])
-
-    def near(left: DataFrame, right: DataFrame, once: Column) -> DataFrame:
-        fits = (F.col("o.token") == F.col("x.token")) & once & possible("o", "x")
-        ell = F.lit(1)
-        if matches:
-            ell = F.least("o.ell", "x.ell")
-            fits = fits & (F.col("o.level") <= ell) & (F.col("x.level") <= ell)
-        pairs = left.alias("o").join(right.alias("x"), fits).select(
-            F.least("o.id", "x.id").alias("a"), F.greatest("o.id", "x.id").alias("b"), ell.alias("ell")
-        )
-        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.max("ell").alias("ell"))
+    rows = buckets.withColumn("component", F.col("id"))
+    if not matches:
+        rows = kept(_open(rows))
+    hubs = rows.groupBy("token").agg(F.min(rank).alias("rank"))
+    hub_rows = rows.withColumn("rank", rank).join(hubs, ["token", "rank"])
+
+    def near(left: DataFrame, right: DataFrame, once: Column, runs: bool = False) -> DataFrame:
+        pairs = token_pairs(left, right, once, possible, matches, runs)
+        counted = pairs.groupBy("a", "b").agg(F.sum("k").alias("common"), F.max("ell").alias("ell"))
         return counted.where("common >= ell").select("a", "b")
 
     # A pair may share more buckets than those with this hub; it then has its turn below.
-    first = kept(verify(near(rows, hub_rows, F.col("o.id") != F.col("x.id"))))
+    found = kept(verify(near(rows, hub_rows, F.col("o.id") != F.col("x.id"))))
 
-    found = first
+    apart = F.col("o.component") != F.col("x.component")
+    rows = kept(_sided(_open(_labelled(rows, found)), hubs, rank))
     for number in range(rounds):
-        rows = kept(_sided(_open(_labelled(rows, found)), hubs))
         if rows.isEmpty():
             return found
-        more = _more_hubs(rows, number)
-        once = F.col("o.component") != F.col("x.component")
-        found = found.unionByName(kept(verify(near(rows, more, once))))
-    rows = kept(_sided(_open(_labelled(rows, found)), hubs))
+        more = kept(verify(near(rows, _more_hubs(rows, number), apart)))
+        # Where further hubs link nothing, still more of them cost more than they save.
+        if more.isEmpty():
+            break
+        found = found.unionByName(more)
+        rows = kept(_sided(_open(_labelled(rows, found)), hubs, rank))
     # Only members outside of the large component start pairs.
-    once = (F.col("o.component") != F.col("x.component")) & (F.col("x.in_main") | (F.col("o.id") < F.col("x.id")))
-    return found.unionByName(verify(near(rows.where("not in_main"), rows, once)))
+    once = apart & (F.col("x.in_main") | (F.col("o.id") < F.col("x.id")))
+    return found.unionByName(verify(near(rows.where("not in_main"), rows, once, runs=matches)))
 
 
-def _sided(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+def _sided(rows: DataFrame, hubs: DataFrame, rank: Column) -> DataFrame:
     """Rows with ``in_main``: whether they are in the component of their bucket's first hub, the large one."""
     rows = rows.drop("in_main")
-    of_hub = rows.join(hubs, ["token", "rank"]).groupBy("token").agg(F.min("component").alias("main"))
+    of_hub = rows.withColumn("rank", rank).join(hubs, ["token", "rank"]).groupBy("token").agg(F.min("component").alias("main"))
     return rows.join(of_hub, "token", "left").withColumn(
         "in_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False))
     ).drop("main")

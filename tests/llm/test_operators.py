@@ -13,10 +13,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gleanframe.llm import decontaminate, html, jaccard, lm, mixing, quality, repeats, secrets, tokens, toxicity
+from gleanframe.llm import decontaminate, html, jaccard, links, lm, mixing, quality, repeats, secrets, tokens, toxicity
 from gleanframe.llm.queries import QUERIES, TOKENIZER
 from gleanframe.llm.tables import DOCUMENT_COLUMNS, table
 
@@ -357,6 +358,44 @@ def test_jaccard_classes(spark, texts, size, num, den, rounds):
     assert {r.doc_id: (r.n, r.component_id) for r in found} == brute_classes(more, size, num, den)
 
 
+def test_token_pairs_by_runs(spark):
+    """Runs give every pair the number of common tokens that one row per token gives, in few rows."""
+    rng = np.random.default_rng(8)
+    whole = np.sort(rng.choice(10_000, 240, replace=False))
+    sets = [np.delete(whole, rng.choice(240, int(rng.integers(0, 40)), replace=False)) for _ in range(30)]
+    rows = []
+    for name, items in enumerate(sets, 100_000):
+        used = items[: len(items) * 2 // 3]
+        row, ids, lost = np.zeros(len(used), int), np.full(len(used), name), np.cumsum(rng.integers(0, 2, len(used)))
+        level = np.maximum(1, np.arange(len(used)) - 100)
+        more = jaccard.beside(used, row, ids, lost, level)
+        ell = int(rng.integers(1, 40))
+        use = level <= ell
+        columns = [used, ids, lost, level, np.full(len(used), ell), *more.values()]
+        rows += [tuple(map(int, r)) for r, u in zip(zip(*columns), use) if u]
+    frame = spark.createDataFrame(rows, "token long, id long, lost long, level long, ell long" + jaccard.BESIDE_SCHEMA)
+    possible = lambda a, b, lost="lost": F.greatest(f"{a}.{lost}", f"{b}.{lost}") < 45
+    made = {}
+    for runs in (False, True):
+        pairs = links.token_pairs(frame, frame, F.col("o.id") < F.col("x.id"), possible, True, runs)
+        made[runs] = pairs.count(), {(r.a, r.b): r.n for r in pairs.groupBy("a", "b").agg(F.sum("k").alias("n")).collect()}
+    assert made[True][1] == made[False][1] and len(made[True][1]) > 400
+    assert made[True][0] < made[False][0] / 2
+
+
+def test_hubs_that_link_nothing_end_the_rounds(spark, monkeypatch):
+    """Sets that share tokens without being linked meet further hubs once, not in every round."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(w if rng.random() > 0.08 else f"x{i}{k}" for k, w in enumerate(words))) for i in range(12)]
+    rounds = []
+    more = links._more_hubs
+    monkeypatch.setattr(links, "_more_hubs", lambda rows, number: rounds.append(number) or more(rows, number))
+    found = jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string"), jaccard.Join(words=3, num=70, den=100, rounds=4))
+    assert found.select("component").distinct().count() == len(docs) and len(rounds) == 1
+
+
+
 def test_repeated_passages(spark):
     rng = np.random.default_rng(3)
     fresh = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
