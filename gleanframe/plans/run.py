@@ -115,7 +115,8 @@ def run_extraction(
     store.register_chunks(documents)
     earlier = wave_counts(store, run_tag, run_id)
     if earlier:
-        store.derive_results(run_tag, run_id)
+        # Waves are closed in order, so only the results of the last one can be missing.
+        store.derive_results(run_tag, run_id, earlier[-1]["wave"])
     wave = max((c["wave"] for c in earlier), default=0) + 1
     summaries: list[dict] = []
     counts = earlier

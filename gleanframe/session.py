@@ -52,9 +52,11 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Repartition a scan that has fewer splits than the session has cores.
 
     Scans of many files already keep every core busy and are left alone, so this
-    never shuffles a large input; it only helps one small file use all cores.
+    never shuffles a large input; it only helps a few small files use all cores.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 2 * cores:
+    splits = scan.rdd.getNumPartitions()
+    # A split of a file may hold no row group, so a split per core is enough only with as many files.
+    if splits >= 2 * cores or splits >= cores and len(scan.inputFiles()) >= cores:
         return scan
     return scan.repartition(2 * cores, *keys)

@@ -16,6 +16,9 @@ from gleanframe.plans.run import Breaker, BreakerTripped
 from gleanframe.plans.sample import SPEC
 from gleanframe.sources.documents import with_status
 from gleanframe.spec import NodeSpec
+from gleanframe.plans.run import run_extraction
+from gleanframe.session import spread
+from gleanframe.sources.documents import corpus
 
 # The rule completer has faults in its replies.
 run_extraction = partial(run.run_extraction, breaker=None)
@@ -283,3 +286,32 @@ def test_calls_in_flight_overlap_and_keep_their_order(spark, spec):
         assert [r.chunknumber for r in found] == list(range(64))
         assert [r.extracted["title"] for r in found] == [str(i) for i in range(64)]
     assert took[8] < took[1] / 3
+
+
+def test_scans_of_many_files_are_not_spread(spark, tmp_path):
+    """A file per core keeps all cores busy, so the texts of such a scan are not shuffled; one file is spread."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(10 * cores).withColumn("text", F.lit("some text"))
+    rows.repartition(cores).write.parquet(f"{tmp_path}/many")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        many, one = read("many"), read("one")
+        assert cores <= many.rdd.getNumPartitions() < 2 * cores
+        assert "Exchange" not in spread(many, "id")._jdf.queryExecution().executedPlan().toString()
+        assert spread(one, "id").rdd.getNumPartitions() == 2 * cores or one.rdd.getNumPartitions() >= 2 * cores
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_resuming_writes_the_last_wave_only(spark, sf_dir, tmp_path, monkeypatch):
+    documents = corpus(spark, sf_dir)
+    store = Store(spark, f"{tmp_path}/store", SPEC)
+    run_extraction(store, documents, RuleCompleter(), "a", "r", breaker=None)
+    waves = []
+    derive = Store.derive_results
+    monkeypatch.setattr(Store, "derive_results", lambda self, tag, run, wave=None: waves.append(wave) or derive(self, tag, run, wave))
+    before = store.results().count()
+    run_extraction(store, documents, RuleCompleter(), "a", "r", breaker=None)
+    assert waves == [2] and store.results().count() == before
