@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.llm import decontaminate, jaccard, mixing, tokens, toxicity
 from gleanframe.llm.queries import TOKENIZER
-from gleanframe.llm.tables import DOCUMENT_COLUMNS, kept, table
+from gleanframe.llm.tables import DOCUMENT_COLUMNS, kept, settled, table
 
 # Near copies share five-word shingles with a similarity of 0.8.
 NEAR_COPIES = jaccard.Join(words=5, num=80, den=100, rounds=2)
@@ -24,6 +24,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*DOCUMENT_COLUMNS, F.xxhash64("text").alias("text_key"))
 
 
+def _plain(rows: DataFrame, *names: str) -> DataFrame:
+    """``rows`` with ``k_<name>`` and ``no_<name>`` for columns that may be null.
+
+    Joins and repeats by these and ``text_key`` deal texts out once, joins by null-safe
+    conditions and repeats by the columns themselves twice.
+    """
+    empty = {"doc_id": F.lit(0).cast("long"), "source": F.lit("")}
+    return rows.withColumns(
+        {f"k_{c}": F.coalesce(c, empty[c]) for c in names} | {f"no_{c}": F.col(c).isNull() for c in names}
+    )
+
+
 def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     other = rows.select(*[F.col(c).alias(f"r_{c}") for c in KEY])
     same = docs["doc_id"].eqNullSafe(F.col("r_doc_id")) & (docs["text_key"] == F.col("r_text_key"))
@@ -46,12 +58,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without words are no copies of each other, but equal rows are.
     """
-    classes = jaccard.jaccard_classes(docs, NEAR_COPIES)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
-    with_words = classes.where("n > 0").groupBy("component").agg(first.alias("k")).select("k.doc_id", "k.text_key")
-    alone = classes.where("n = 0").select(*KEY).distinct()
-    stay = kept(with_words.unionByName(alone))
-    return _matching(_keyed(docs), stay, "left_semi").dropDuplicates([*KEY]).select(*DOCUMENT_COLUMNS)
+
+    def stay() -> DataFrame:
+        classes = jaccard.jaccard_classes(docs, NEAR_COPIES)
+        with_words = classes.where("n > 0").groupBy("component").agg(first.alias("k")).select("k.doc_id", "k.text_key")
+        return with_words.unionByName(classes.where("n = 0").select(*KEY).distinct())
+
+    key = ["k_doc_id", "no_doc_id", "text_key"]
+    rows = _plain(settled(stay), "doc_id").select(*key)
+    return _plain(_keyed(docs), "doc_id").join(rows, key, "left_semi").dropDuplicates(key).select(*DOCUMENT_COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +76,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by id and text, so rows of one id with other texts stay.  Null and
     empty texts hold nothing and stay, and so do all rows where there are no items.
     """
-    found = kept(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(*KEY).distinct())
+    found = settled(lambda: decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(*KEY).distinct())
     return _matching(_keyed(docs), found, "left_anti").select(*DOCUMENT_COLUMNS)
 
 
@@ -70,19 +86,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words have size zero and are taken as the mix says.  Rows alike in id,
     text and source are interchangeable; a null source is a source of its own.
     """
-    mix = mixing.mixed(docs).where("copies > 0")
-    taken = mix.select(*KEY, F.col("copies"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"))
+    key = ["k_doc_id", "no_doc_id", "text_key", "k_source", "no_source"]
     # Rows alike in id, text and source are interchangeable; each is matched once.
-    taken = taken.groupBy(*KEY, "s", "none").agg(F.sum("copies").alias("copies"))
-    right = taken.select(F.col("doc_id").alias("r_doc_id"), F.col("text_key").alias("r_text_key"), "s", "none", "copies")
-    once = _keyed(docs).dropDuplicates([*KEY, "source"])
-    same = (
-        once["doc_id"].eqNullSafe(F.col("r_doc_id"))
-        & (once["text_key"] == F.col("r_text_key"))
-        & (F.coalesce(once["source"], F.lit("")) == F.col("s"))
-        & (once["source"].isNull() == F.col("none"))
+    taken = settled(
+        lambda: _plain(mixing.mixed(docs).where("copies > 0").select(*KEY, "source", "copies"), "doc_id", "source")
+        .groupBy(*key)
+        .agg(F.sum("copies").alias("copies"))
     )
-    joined = once.join(right, same)
+    joined = _plain(_keyed(docs), "doc_id", "source").dropDuplicates(key).join(taken, key)
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*DOCUMENT_COLUMNS)
 
 

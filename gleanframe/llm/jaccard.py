@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gleanframe.llm.components import components
 from gleanframe.llm.links import links
-from gleanframe.llm.tables import cut, kept, key_filter, map_batches, maybe
+from gleanframe.llm.tables import cut, kept, key_filter, map_batches, maybe, settled
 from gleanframe.llm.words import lists, mix, shingles, signed, word_hashes, words
 
 # Cells of the count table: a byte each in the end, whatever the corpus holds.
@@ -279,7 +279,11 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
         return (bound * (join.num + join.den) >= (n + m) * join.num) & near
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = kept(pairs)
+        return settled(lambda: linked(kept(pairs)))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
         named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         items = kept(_whole_sets(docs, named, join))
         left = items.select(F.col("id").alias("a"), F.col("items").alias("of_a"))

@@ -4,8 +4,8 @@ Tokens that several sets share make buckets.  First every bucket's members are c
 with one of them, its hub, which links a group of near copies with as many pairs as it has
 members.  Members that are then in one component need no comparison.  A group of near copies
 has members that are not near its hub but near others, so in further rounds (``rounds``) the
-bucket's members meet ``HUBS`` more from the large component and as many from outside of it,
-as long as that links any.  What is left, pairs of one bucket in different components,
+members of a large bucket meet ``HUBS`` more from the large component and as many from outside
+of it, as long as that links any.  What is left, pairs of one bucket in different components,
 is compared in full, so no link between components is lost; there a pair has a row per run of
 common tokens, not per token.  Joins on tokens may be split where a token is frequent.
 """
@@ -22,6 +22,8 @@ from gleanframe.llm.tables import kept
 
 # Hubs from each side of a bucket in a round after the first.
 HUBS = 6
+# Members of a bucket for which further hubs pay; in smaller ones all pairs are at most as many as those with hubs.
+LARGE = 4 * HUBS
 
 # Checks candidate pairs (a, b) and returns the linked ones.
 Verify = Callable[[DataFrame], DataFrame]
@@ -33,6 +35,20 @@ def _open(buckets: DataFrame) -> DataFrame:
     return buckets.join(spread.where("lo <> hi").select("token"), "token", "left_semi")
 
 
+def _sided(buckets: DataFrame, rank: Column) -> DataFrame:
+    """Rows of the open buckets with ``in_main`` and ``large``.
+
+    They say whether a row is in the component of its bucket's first hub, the member of least
+    ``rank``, and whether the bucket has more than ``LARGE`` members.
+    """
+    spread = buckets.groupBy("token").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", rank).alias("main"), F.count("*").alias("members")
+    )
+    rows = buckets.drop("in_main", "large").join(spread.where("lo <> hi").select("token", "main", "members"), "token")
+    in_main, large = F.col("component") == F.col("main"), F.col("members") > LARGE
+    return rows.withColumns({"in_main": in_main, "large": large}).drop("main", "members")
+
+
 def _labelled(buckets: DataFrame, edges: DataFrame) -> DataFrame:
     labels = components(edges)
     return buckets.drop("component").join(labels, "id", "left").withColumn(
@@ -95,30 +111,22 @@ def links(buckets: DataFrame, possible: Callable[..., Column], verify: Verify, m
     found = kept(verify(near(rows, hub_rows, F.col("o.id") != F.col("x.id"))))
 
     apart = F.col("o.component") != F.col("x.component")
-    rows = kept(_sided(_open(_labelled(rows, found)), hubs, rank))
+    rows = kept(_sided(_labelled(rows, found), rank))
     for number in range(rounds):
         if rows.isEmpty():
             return found
-        more = kept(verify(near(rows, _more_hubs(rows, number), apart)))
+        large = rows.where("large")
+        more = kept(verify(near(large, _more_hubs(large, number), apart)))
         # Where further hubs link nothing, still more of them cost more than they save.
         if more.isEmpty():
             break
         found = found.unionByName(more)
-        rows = kept(_sided(_open(_labelled(rows, found)), hubs, rank))
+        rows = kept(_sided(_labelled(rows, found), rank))
     # Only members outside of the large component start pairs.
     once = apart & (F.col("x.in_main") | (F.col("o.id") < F.col("x.id")))
     return found.unionByName(verify(near(rows.where("not in_main"), rows, once, runs=matches)))
 
 
-def _sided(rows: DataFrame, hubs: DataFrame, rank: Column) -> DataFrame:
-    """Rows with ``in_main``: whether they are in the component of their bucket's first hub, the large one."""
-    rows = rows.drop("in_main")
-    of_hub = rows.withColumn("rank", rank).join(hubs, ["token", "rank"]).groupBy("token").agg(F.min("component").alias("main"))
-    return rows.join(of_hub, "token", "left").withColumn(
-        "in_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False))
-    ).drop("main")
-
-
 def _more_hubs(rows: DataFrame, number: int) -> DataFrame:
     """``HUBS`` members of each bucket's large component and as many others, least in orders of their own.
 

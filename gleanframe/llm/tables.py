@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,10 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 FILTER_BITS = 1 << 25
 # Rows with about so many bytes of text are worked on at a time.
 SLICE_BYTES = 4 << 20
+# Spark's option to remove a query's shuffle files when it ends.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Folders written inside of :func:`settled`.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +32,36 @@ def kept(frame: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it again, which cuts its lineage."""
     spark = frame.sparkSession
     path = shared_folder(spark)
-    frame.write.parquet(path, compression=codec)
+    if (written := _written.get()) is not None:
+        written.append(path)
+    before = spark.conf.get(REMOVE_SHUFFLES, "false")
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        frame.write.parquet(path, compression=codec)
+    finally:
+        spark.conf.set(REMOVE_SHUFFLES, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """Keep the frame that ``make`` returns and delete all tables kept on the way to it.
+
+    Of what ``make`` builds only that frame may be read afterwards.
+    """
+    mark = _written.set([])
+    try:
+        frame = make()
+        inner = _written.get()
+    finally:
+        _written.reset(mark)
+    result = kept(frame)
+    spark = frame.sparkSession
+    for path in inner:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return result
+
+
 def cut(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with about ``size`` bytes in their longest columns; a longer row stands alone.
 
